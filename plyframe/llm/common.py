@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,3 +131,15 @@ class Words:
         doc = self.doc()
         at = np.flatnonzero(doc[:n] == doc[k - 1 : k - 1 + n])
         return mix(out[at]), at
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20):
+    """``batch`` in runs of rows of about ``limit`` bytes of a string column; a longer row is alone."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        done = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, done + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end

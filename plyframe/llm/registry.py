@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plyframe.llm import simhash
+from plyframe.llm import langid, simhash
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op8_language_id": langid.op8_language_id,
 }
 
 ORACLES: dict[str, str] = {}
