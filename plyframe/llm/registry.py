@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plyframe.llm import langid, simhash
+from plyframe.llm import langid, sentencepieces, simhash
 
 QUERIES = {
+    "op1_sentencepiece": sentencepieces.op1_sentencepiece,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op8_language_id": langid.op8_language_id,
 }
