@@ -5,7 +5,8 @@ characters. An agenda holds its adjacent pairs that the vocabulary can merge, be
 then leftmost. A popped candidate is skipped if a hash keyed by seed, stream, word and the places
 of its two pieces falls below the dropout rate; a merge nearby may propose new candidates. So one
 seed always gives one segmentation, other seeds and streams give others, and all decode to the
-same text. A document's stream is a keyed hash of its text, hence independent of partitioning.
+same text. Streams are dealt to a document's words in turn, from one that a keyed hash of its text
+names: a word that recurs is cut in several ways, and partitioning has no part in it.
 
 Many words are encoded at once: the agendas are rows of arrays, and each round pops the best
 candidate of every row. Words of over WIDE characters have a heap instead; both follow one rule.
@@ -17,6 +18,8 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import cycle
+from operator import getitem
 
 import numpy as np
 import pyarrow as pa
@@ -133,8 +136,8 @@ class Encoder:
             if low == WIDE:
                 for i in rows:
                     own_points = point[begin[i] : begin[i] + length[i]]
-                    key = mix((own_points.astype(np.uint64) + np.uint64(1)) @ powers(len(own_points)) ^ own[i])
-                    out[i] = self.ids_of(self.agenda(own_points, key))
+                    key = mix((own_points.astype(np.uint64) + np.uint64(1)) @ powers(len(own_points)) ^ own[i : i + 1])
+                    out[i] = self.ids_of(self.agenda(own_points, key[0]))
                 continue
             for chunk in range(0, len(rows), 1 << 14):
                 part = rows[chunk : chunk + (1 << 14)]
@@ -244,12 +247,13 @@ class Encoder:
         of = [xxhash.xxh64_intdigest(t or "", self.seed & 2**64 - 1) % self.streams for t in texts]
         new: list[set[str]] = [set() for _ in range(self.streams)]
         for words, s in zip(split, of):
-            new[s].update(words)
+            for i in range(self.streams):
+                new[(s + i) % self.streams].update(words[i :: self.streams])
         new = [a.difference(b) for a, b in zip(new, self.known)]
         words = [w for s in new for w in s]
         for w, s, ids in zip(words, (streams := np.repeat(np.arange(self.streams), [len(s) for s in new])).tolist(), self.encode_words(words, streams) if words else []):
             self.known[s][w] = ids
-        return [b"".join(map(self.known[s].__getitem__, w)) for w, s in zip(split, of)]
+        return [b"".join(map(getitem, cycle(self.known[s:] + self.known[:s]), w)) for w, s in zip(split, of)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids as UTF-8, without the space put before it."""

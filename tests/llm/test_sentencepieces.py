@@ -25,6 +25,8 @@ def test_dropout_varies_by_seed_and_is_lossless():
     one, two = a.encode(TEXTS), b.encode(TEXTS)
     assert one == S.Encoder(S.load(), seed=1, dropout=0.3).encode(TEXTS[::-1])[::-1]
     assert one != two and ids(one[6]) != base[6] and len(ids(one[6])) > len(base[6])
+    repeats = S.Encoder(S.load(), seed=1, dropout=0.3).encode(["internationalization " * 40])[0]
+    assert len({repeats[i : i + 8] for i in range(0, len(repeats) - 8, 4)}) > 8
     for raw, t in zip(one, TEXTS):
         assert a.decode(np.frombuffer(raw, "<i4")).decode() == t
     c = S.Encoder(S.load(), dropout=1.0)
