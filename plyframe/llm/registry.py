@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from plyframe.llm import langid, sentencepieces, simhash
+from plyframe.llm import decontaminate, langid, sentencepieces, simhash
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.op1_sentencepiece,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op8_language_id": langid.op8_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_benchmark_decontamination": decontaminate.OP5_SQL,
+}
 
 
 def queries() -> dict:
