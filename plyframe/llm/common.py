@@ -108,7 +108,7 @@ class Words:
                 p = powers(int(width[live].max()) + 1)
                 for i in live:
                     rest = low[self.start[i] + step : self.end[i]].astype(np.uint64) + np.uint64(1)
-                    out[i] = out[i] * p[len(rest)] + (rest * p[: len(rest)][::-1]).sum(dtype=np.uint64)
+                    out[i : i + 1] = out[i : i + 1] * p[len(rest)] + (rest * p[: len(rest)][::-1]).sum(dtype=np.uint64)
                 break
             out[live] = out[live] * m + low[self.start[live] + step] + np.uint64(1)
             step += 1

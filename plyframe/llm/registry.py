@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plyframe.llm import decontaminate, langid, sentencepieces, simhash
+from plyframe.llm import decontaminate, langid, passages, sentencepieces, simhash
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.op1_sentencepiece,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_substring_dedup": passages.op4_substring_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op8_language_id": langid.op8_language_id,
 }
