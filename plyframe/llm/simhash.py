@@ -146,7 +146,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = components(links(nodes))
     roots = linked.join(nodes, linked.node == nodes.fp).groupBy("root").agg(F.min("least").alias("component"))
     of = linked.join(roots, "root").select(F.col("node").alias("fp"), "component")
-    named = nodes.join(of, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # Cut, so that the last join stands alone and Spark can split a fingerprint with very many rows.
+    named = cut(nodes.join(of, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
     return own.join(named, "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id", "fp")
 
 
