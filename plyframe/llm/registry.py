@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from plyframe.llm import decontaminate, langid, passages, sentencepieces, simhash
+from plyframe.llm import decontaminate, langid, media, passages, sentencepieces, simhash, tokencounts
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.op1_sentencepiece,
+    "op2_token_counts": tokencounts.op2_token_counts,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_substring_dedup": passages.op4_substring_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op8_language_id": langid.op8_language_id,
+    "op9_media_columns": media.op9_media_columns,
 }
 
 ORACLES: dict[str, str] = {
