@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plyframe.llm import decontaminate, langid, media, passages, sentencepieces, simhash, tokencounts
+from plyframe.llm import chats, decontaminate, langid, media, passages, sentencepieces, simhash, tokencounts, urls
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.op1_sentencepiece,
@@ -10,12 +10,15 @@ QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_substring_dedup": passages.op4_substring_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+    "op6_chat_formatting": chats.op6_chat_formatting,
+    "op7_url_filters": urls.op7_url_filters,
     "op8_language_id": langid.op8_language_id,
     "op9_media_columns": media.op9_media_columns,
 }
 
 ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": decontaminate.OP5_SQL,
+    "op6_chat_formatting": chats.OP6_SQL,
 }
 
 
