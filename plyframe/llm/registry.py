@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plyframe.llm import chats, decontaminate, langid, media, passages, sentencepieces, simhash, tokencounts, urls
+from plyframe.llm import chats, decontaminate, langid, media, passages, sentencepieces, simhash, tokencounts, urls, webtext
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.op1_sentencepiece,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_url_filters": urls.op7_url_filters,
     "op8_language_id": langid.op8_language_id,
     "op9_media_columns": media.op9_media_columns,
+    "op10_html_extraction": webtext.op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
