@@ -23,7 +23,7 @@ from plyframe.llm.common import cut, slices, table
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary of RANKS_PATH cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK = 1024
+BLOCK = 64
 
 
 class Counter:
