@@ -8,7 +8,8 @@ generalised to a repeated group of optional children. A wrapper's size follows t
 that a host uses, not its number of pages.
 
 Each partition infers its own wrappers and only these are shuffled and merged, in two rounds, so a
-host with a third of all pages is no hot spot. A page is then aligned with its host's wrapper. Blocks
+host with a third of all pages is no hot spot. Pages are shuffled only where wrappers are too large
+to be broadcast, and then each host is dealt over many partitions. A page is then aligned with its host's wrapper. Blocks
 whose text is the same on many different pages of the host are template and go, in and outside of the
 article. Where a page marks its article, that is the main text, else it's the container that has
 most of the slots' text over all of the host's pages. Elements that say that they are something else (menus,
@@ -56,6 +57,8 @@ MOST_PER_KIND = 4
 #: Blocks nested deeper than this count as children of the last one.
 DEEPEST = 120
 SALTS, HOSTS_AT_ONCE = 64, 2000
+#: Wrappers of all hosts together that are broadcast at most.
+BROADCAST_BYTES = 16 << 20
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -380,7 +383,16 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                     texts.append(" ".join(own[host].kept(Page(source))))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["id", "url", "text", "n_chars"])
 
-    joined = rows.join(known, "host").select("id", "url", "html", "host", "wrapper")
+    # Wrappers of few kilobytes each are sent to the pages where they are proven small; else pages
+    # are dealt out, and every host over SALTS partitions.
+    size = known.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(known), "host")
+    else:
+        salt = F.pmod(F.xxhash64("id", "url", "html"), F.lit(SALTS)).cast("int")
+        every = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", salt).join(every, ["host", "salt"])
+    joined = joined.select("id", "url", "html", "host", "wrapper")
     out = joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 

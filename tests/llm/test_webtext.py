@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from plyframe.llm import webtext as W
 
 RNG = random.Random(12)
@@ -22,7 +24,9 @@ def plain(k):
     return page, " ".join([body[0], *(x for b in body[1:] for x in (b, b[:9].strip()))])
 
 
-def test_pages_of_two_templates(spark):
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_pages_of_two_templates(spark, monkeypatch, limit):
+    monkeypatch.setattr(W, "BROADCAST_BYTES", limit)
     rows, want = [], {}
     for i in range(40):
         make = article if i % 2 else plain
