@@ -205,18 +205,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, phrases bigint, chars bigint").withColumnRenamed("id", id_col)
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` added to each row, in the one pass over its text."""
-    held = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
-    out = predict(docs.select(held, F.col(text_col).alias("_text")), model, "row", "_text")
-    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns), "lang_pred", "score")
-
-
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (``und``); the others get the predicted language in ``lang``."""
     model = train(docs.where(chosen(F.col("doc_id"))))
-    out = with_language(docs.withColumnRenamed("lang", "_lang"), model).where("lang_pred <> 'und'")
-    return out.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    known = predict(held, model, "_row", "_text").where("lang_pred <> 'und'")
+    return known.select(*((F.col("lang_pred") if c == "lang" else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
