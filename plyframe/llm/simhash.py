@@ -151,17 +151,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id", "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one whose doc_id is least.
-
-    Rows without doc_id belong to no component and stay. Of repeated rows of one doc_id one stays.
-    """
-    found = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = cut(found)
-    single = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several).unionByName(docs.where("doc_id is null"))
-
-
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
