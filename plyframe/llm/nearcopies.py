@@ -116,11 +116,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     x = projections(b.column(1))
                     bits = np.packbits(x > 0, axis=1, bitorder="little")
                     own = keys(x)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32)), pa.array(own.ravel().astype(np.int64)))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32)), pa.array(own.ravel().astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in bits], pa.binary()), lists], names=["id", "fp", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp binary, keys array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp binary, keys array<int>")
 
 
 def compared(fps: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -197,7 +197,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     own = cut(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
     kind = own.schema["id"].dataType.simpleString()
     nodes = cut(own.groupBy("fp").agg(F.min("id").alias("node"), F.any_value("keys").alias("keys")))
-    keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key")).select("node", F.col("key").cast("bigint").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     salt = F.when(F.col("n") > SHARE, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SHARE))).otherwise(0).cast("bigint")
     shared = keyed.join(sizes, "key").select("key", "node", salt.alias("salt")).join(nodes.select("node", "fp"), "node")
