@@ -28,12 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def levels(game: Game, seeds: DataFrame) -> list[DataFrame]:
-    """States at each distance from the seeds, for a graded game whose states have one distance only."""
+def levels(game: Mnk, seeds: DataFrame) -> list[DataFrame]:
+    """States at each distance from the seeds, for a board game: a state has one distance only.
+
+    A move fills a cell, so there are as many levels as cells and one more; none is counted to tell the last.
+    """
     out = [cut(seeds.select("state").distinct())]
-    while not out[-1].isEmpty():
+    for _ in range(game.cells):
         out.append(cut(game.expanded(out[-1]).select(F.col("child").alias("state")).distinct()))
-    return out[:-1]
+    return out
 
 
 def reachable(game: Game, seeds: DataFrame) -> DataFrame:
@@ -61,8 +64,8 @@ def best_children(moves: DataFrame, solved: DataFrame, player) -> DataFrame:
     return found.groupBy("state", "player").agg(best.alias("best")).select("state", (F.col("best.remoteness") + 1).alias("remoteness"), "player", F.col("best.utility").alias("utility"))
 
 
-def by_levels(game: Game, seeds: DataFrame, every: int = 4) -> DataFrame:
-    """Solutions of all states that a graded game reaches from the seeds; lineage is cut every few levels."""
+def by_levels(game: Mnk, seeds: DataFrame, every: int = 4) -> DataFrame:
+    """Solutions of all states that a board game reaches from the seeds; lineage is cut every few levels."""
     found = levels(game, seeds)
     parts: list[DataFrame] = []
     solved = None
