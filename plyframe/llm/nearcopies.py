@@ -12,8 +12,8 @@ about 0.02.
 
 Small buckets are compared whole. In a large one each document is linked to the first leader that is
 near, and is a leader itself if none is; very large ones are dealt over salts first, and their leaders
-meet in a second pass, dealt anew. Each of the tables has its own leaders, so near copies are
-connected by many of them.
+meet in a second pass, dealt anew. Documents lead in one order in all tables, so the links of a group
+are few; tables put different ones together, so near copies are connected by several of them.
 """
 
 from __future__ import annotations
@@ -184,7 +184,7 @@ def linked(rows: DataFrame, kind: str, limit: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield solve(held)
 
-    dealt = rows.select("key", "salt", "node", "fp").repartition("key", "salt").sortWithinPartitions("key", "salt", F.xxhash64("key", "node"))
+    dealt = rows.select("key", "salt", "node", "fp").repartition("key", "salt").sortWithinPartitions("key", "salt", F.xxhash64("node"), "node")
     return dealt.mapInArrow(run, f"a {kind}, b {kind}, key bigint, node {kind}, fp binary")
 
 
