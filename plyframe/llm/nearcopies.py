@@ -124,12 +124,19 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def compared(fps: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links among the rows of one bucket, and the leaders of a large one."""
+    """Links that connect what is near in one bucket, and the leaders of a large one.
+
+    Of a small bucket all pairs are compared, and those kept that join two groups yet apart.
+    """
     links, n = [], len(fps)
     if n <= SMALL:
+        group = list(range(n))
         for i in range(1, n):
             near = np.bitwise_count(fps[:i] ^ fps[i]).sum(axis=1, dtype=np.int32) <= limit
-            links.extend((int(j), i) for j in np.flatnonzero(near))
+            for j in np.flatnonzero(near).tolist():
+                if group[j] != group[i]:
+                    links.append((j, i))
+                    group = [group[j] if g == group[i] else g for g in group]
         return links, []
     leaders: list[int] = []
     free = np.arange(n)
