@@ -78,7 +78,7 @@ def by_levels(game: Mnk, seeds: DataFrame, every: int = 4) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return cut(out)
 
 
 def peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
