@@ -10,10 +10,10 @@ Two documents are linked if so few bits differ as a similarity of 0.8 leaves: an
 where the cosine is 2s / (1 + s), with two standard deviations' allowance; the bits tell s to within
 about 0.02.
 
-Small buckets are compared whole. In a large one each document is linked to the first leader that is
-near, and is a leader itself if none is; very large ones are dealt over salts first, and their leaders
-meet in a second pass, dealt anew. Documents lead in one order in all tables, so the links of a group
-are few; tables put different ones together, so near copies are connected by several of them.
+All pairs of a bucket count, but only links that join two groups yet apart come out, at most one a
+document: a document that is in a group is compared with those that are in none. Very large buckets
+are dealt over salts first, and the first ones of their groups meet in a second pass, dealt anew.
+Documents come in one order in all tables, and links go to a group's first one, so the links of a group are few.
 """
 
 from __future__ import annotations
@@ -124,30 +124,27 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def compared(fps: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that connect what is near in one bucket, and the leaders of a large one.
+    """Links that connect what is near in one bucket, each row of a group with its first one, and the first ones of a large bucket.
 
-    Of a small bucket all pairs are compared, and those kept that join two groups yet apart.
+    Groups are those that all pairs of the bucket make; a row of a group is compared with all rows that
+    are in no group yet.
     """
-    links, n = [], len(fps)
-    if n <= SMALL:
-        group = list(range(n))
-        for i in range(1, n):
-            near = np.bitwise_count(fps[:i] ^ fps[i]).sum(axis=1, dtype=np.int32) <= limit
-            for j in np.flatnonzero(near).tolist():
-                if group[j] != group[i]:
-                    links.append((j, i))
-                    group = [group[j] if g == group[i] else g for g in group]
-        return links, []
-    leaders: list[int] = []
-    free = np.arange(n)
+    links, leaders, n = [], [], len(fps)
+    whole = np.bitwise_count(fps[:, None] ^ fps).sum(axis=2, dtype=np.int32) <= limit if n <= SMALL else None
+    free, rest = np.arange(n), fps
     while len(free):
         first = int(free[0])
         leaders.append(first)
-        near = np.bitwise_count(fps[free] ^ fps[first]).sum(axis=1, dtype=np.int32) <= limit
-        taken = free[near]
-        links.extend((first, int(j)) for j in taken if j != first)
-        free = free[~near & (free != first)]
-    return links, leaders
+        group, free, rest = [first], free[1:], rest[1:]
+        for i in group:
+            if not len(free):
+                break
+            near = whole[i, free] if whole is not None else np.bitwise_count(rest ^ fps[i]).sum(axis=1, dtype=np.int32) <= limit
+            if near.any():
+                group.extend(free[near].tolist())
+                free, rest = free[~near], rest[~near]
+        links.extend((first, j) for j in group[1:])
+    return links, leaders if n > SMALL else []
 
 
 def linked(rows: DataFrame, kind: str, limit: int) -> DataFrame:

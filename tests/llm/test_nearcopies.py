@@ -94,3 +94,17 @@ def test_soft_decoding_picks_near_codewords():
 
     plain = (hard ^ patterns[low[hard & 4095] ^ high[hard >> 12], 0]) >> 11
     assert (cost(best) <= cost(plain) + 1e-5).all() and (cost(best) <= cost(second) + 1e-5).all() and (cost(best) < cost(plain) - 1e-5).any()
+
+
+def test_all_pairs_of_a_large_bucket_count():
+    rng = np.random.default_rng(6)
+    base = rng.random(N.BITS) < 0.5
+    rows = np.array([base ^ np.isin(np.arange(N.BITS), rng.choice(N.BITS, 300, replace=False)) for _ in range(1000)] + [base])
+    fps = np.packbits(rows, axis=1, bitorder="little").view(np.uint64)
+    limit = N.most_apart()
+    found = N.compared(fps, limit)
+    links = found[0] if isinstance(found, tuple) else found
+    root = list(range(len(fps)))
+    for a, b in links:
+        root = [root[a] if r == root[b] else r for r in root]
+    assert np.bitwise_count(fps[0] ^ fps[1]).sum() > limit and len(set(root)) == 1 and len(links) == 1000
