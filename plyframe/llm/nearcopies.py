@@ -11,9 +11,9 @@ where the cosine is 2s / (1 + s), with two standard deviations' allowance; the b
 about 0.02.
 
 All pairs of a bucket count, but only links that join two groups yet apart come out, at most one a
-document: a document that is in a group is compared with those that are in none. Very large buckets
-are dealt over salts first, and the first ones of their groups meet in a second pass, dealt anew.
-Documents come in one order in all tables, and links go to a group's first one, so the links of a group are few.
+document: a document that is in a group is compared with those that are in none. Of very large buckets
+every two blocks meet in a task of their own. Documents come in one order in all tables, and links go to
+a group's first one, so the links of a group are few.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from plyframe.llm.simhash import LENGTH, MESSAGE, golay
 
 K, SIMILARITY = 5, 0.8
 BITS, TABLES, WEAK = 2048, 24, 3
-#: Buckets up to this size are compared whole; of larger ones a task sees about SHARE documents.
+#: Buckets up to this size are compared in one step; above SHARE documents they are dealt into blocks of about as many.
 SMALL, SHARE = 32, 2048
 
 
@@ -123,18 +123,17 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp binary, keys array<int>")
 
 
-def compared(fps: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that connect what is near in one bucket, each row of a group with its first one, and the first ones of a large bucket.
+def compared(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Links that connect what is near in one bucket: each row of a group with the group's first one.
 
     Groups are those that all pairs of the bucket make; a row of a group is compared with all rows that
     are in no group yet.
     """
-    links, leaders, n = [], [], len(fps)
+    links, n = [], len(fps)
     whole = np.bitwise_count(fps[:, None] ^ fps).sum(axis=2, dtype=np.int32) <= limit if n <= SMALL else None
     free, rest = np.arange(n), fps
-    while len(free):
+    while len(free) > 1:
         first = int(free[0])
-        leaders.append(first)
         group, free, rest = [first], free[1:], rest[1:]
         for i in group:
             if not len(free):
@@ -144,11 +143,24 @@ def compared(fps: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], list[i
                 group.extend(free[near].tolist())
                 free, rest = free[~near], rest[~near]
         links.extend((first, j) for j in group[1:])
-    return links, leaders if n > SMALL else []
+    return links
+
+
+def salted(keyed: DataFrame) -> DataFrame:
+    """``(key, node, salt)`` of ``(key, node)`` for keys of two nodes and more: any two nodes of a key share a salt.
+
+    A key of more than SHARE nodes is dealt into blocks, and every two blocks have a salt.
+    """
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / SHARE).cast("bigint")
+    own = F.pmod(F.xxhash64("node"), blocks)
+    pairs = F.transform(F.sequence(F.lit(1), blocks - 1), lambda i: F.least(own, (own + i) % blocks) * blocks + F.greatest(own, (own + i) % blocks))
+    salts = F.when(F.col("n") > SHARE, pairs).otherwise(F.array(F.lit(0).cast("bigint")))
+    return keyed.join(sizes, "key").select("key", "node", F.explode(salts).alias("salt"))
 
 
 def linked(rows: DataFrame, kind: str, limit: int) -> DataFrame:
-    """Links of ``rows(key, salt, node, fp)`` bucket by bucket, ``(a, b)``, and leaders, ``(key, node, fp)``."""
+    """Links ``(a, b)`` of ``rows(key, salt, node, fp)``, bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -157,21 +169,14 @@ def linked(rows: DataFrame, kind: str, limit: int) -> DataFrame:
             t = t.combine_chunks()
             fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, BITS // 64)
             edge = starts(t)
-            a, b, heads = [], [], []
+            a, b = [], []
             for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(fps)]):
                 if j - i > 1:
-                    links, leaders = compared(fps[i:j], limit)
+                    links = compared(fps[i:j], limit)
                     a.extend(i + p for p, _ in links)
                     b.extend(i + q for _, q in links)
-                    heads.extend(i + p for p in leaders)
-            node, n, m = t.column("node").combine_chunks(), len(a), len(heads)
-            left, right, head = (pa.array(v, pa.int64()) for v in (a, b, heads))
-            none = lambda k, kind: pa.nulls(k, kind)
-            columns = [pa.concat_arrays([node.take(left), none(m, node.type)]), pa.concat_arrays([node.take(right), none(m, node.type)])]
-            for name in ("key", "node", "fp"):
-                own = t.column(name).combine_chunks()
-                columns.append(pa.concat_arrays([none(n, own.type), own.take(head)]))
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "node", "fp"])
+            node = t.column("node").combine_chunks()
+            return pa.RecordBatch.from_arrays([node.take(pa.array(v, pa.int64())) for v in (a, b)], names=["a", "b"])
 
         def starts(t: pa.Table) -> np.ndarray:
             key, salt = (t.column(c).to_numpy() for c in ("key", "salt"))
@@ -189,7 +194,7 @@ def linked(rows: DataFrame, kind: str, limit: int) -> DataFrame:
             yield solve(held)
 
     dealt = rows.select("key", "salt", "node", "fp").repartition("key", "salt").sortWithinPartitions("key", "salt", F.xxhash64("node"), "node")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}, key bigint, node {kind}, fp binary")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -202,17 +207,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     kind = own.schema["id"].dataType.simpleString()
     nodes = cut(own.groupBy("fp").agg(F.min("id").alias("node"), F.any_value("keys").alias("keys")))
     keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key")).select("node", F.col("key").cast("bigint").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    salt = F.when(F.col("n") > SHARE, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SHARE))).otherwise(0).cast("bigint")
-    shared = keyed.join(sizes, "key").select("key", "node", salt.alias("salt")).join(nodes.select("node", "fp"), "node")
-    limit = most_apart(similarity)
-    first = cut(linked(shared, kind, limit))
-    heads = first.where("key is not null")
-    many = heads.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    salt = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / SHARE)).cast("bigint")
-    heads = heads.join(many, "key").select("key", "node", "fp", salt.alias("salt"))
-    again = linked(heads, kind, limit).where("a is not null").select("a", "b")
-    edges = first.where("a is not null").select("a", "b").unionAll(again)
+    shared = salted(keyed).join(nodes.select("node", "fp"), "node")
+    edges = linked(shared, kind, most_apart(similarity))
     roots = components(edges).select(F.col("node"), "root")
     named = cut(nodes.select("fp", "node").join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
     return own.select("id", "fp").join(named, "fp").select(F.col("id").alias(id_col), "component_id")

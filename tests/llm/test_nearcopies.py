@@ -108,3 +108,14 @@ def test_all_pairs_of_a_large_bucket_count():
     for a, b in links:
         root = [root[a] if r == root[b] else r for r in root]
     assert np.bitwise_count(fps[0] ^ fps[1]).sum() > limit and len(set(root)) == 1 and len(links) == 1000
+
+
+def test_near_pairs_of_a_hot_key_meet(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHARE", 8)
+    rng = np.random.default_rng(9)
+    apart = rng.random((50, N.BITS)) < 0.5
+    fps = np.packbits(np.concatenate([apart, apart]), axis=1, bitorder="little")
+    keyed = spark.createDataFrame([(5, n) for n in range(100)], "key bigint, node bigint")
+    nodes = spark.createDataFrame([(n, bytearray(row.tobytes())) for n, row in enumerate(fps)], "node bigint, fp binary")
+    links = N.linked(N.salted(keyed).join(nodes, "node"), "bigint", N.most_apart()).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in links} == {(n, n + 50) for n in range(50)}
