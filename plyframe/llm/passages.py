@@ -6,8 +6,8 @@ of document ids: a passage in m documents gives m - 1 matches, never all pairs.
 documents are chained: a chain goes forward in both, earns the words of its seeds and pays for the
 gaps, and the best one that ends in each match is found with a Fenwick tree of prefix maxima over
 the places in the earlier document. Chains are aligned word by word: seeds stand as they are, the
-gaps between them by edit distance, and both ends are extended. What is at least 50 words long and
-at least 0.8 alike is a repeat.
+gaps between them by edit distance, and both ends are extended, as are the ends at a gap that parts
+two passages. Each stretch of a chain that is at least 50 words long and at least 0.8 alike is a repeat.
 
 Seeds are pre-aggregated before they are shuffled and joined to one row a seed, a document's matches are
 bounded by its own length, and texts are read once more, for the spans of chains only.
@@ -208,8 +208,8 @@ def extend(a: list[bytes], b: list[bytes], i: int, j: int, step: int) -> tuple[i
     return length, wrong
 
 
-def align(a: list[bytes], b: list[bytes], x: list[int], y: list[int]) -> tuple[int, int, int, int, float] | None:
-    """The part of a chain's alignment that is a repeat: start and end in a and in b, similarity."""
+def align(a: list[bytes], b: list[bytes], x: list[int], y: list[int]) -> list[tuple[int, int, int, int, float]]:
+    """The parts of a chain's alignment that are repeats: start and end in a and in b, similarity."""
     pieces: list[tuple[int, int, int, int, int]] = []  # start and end in a and b, edits
     n, wrong = extend(a, b, x[0] - 1, y[0] - 1, -1)
     pieces.append((x[0] - n, x[0], y[0] - n, y[0], wrong))
@@ -224,29 +224,45 @@ def align(a: list[bytes], b: list[bytes], x: list[int], y: list[int]) -> tuple[i
             end = shift
         else:
             if p > i or q > j:
-                pieces.append((i, p, j, q, distance(a[i:p], b[j:q])))
+                pieces.extend(gap(a, b, i, p, j, q))
             end = 0
         i, j = p + K - end, q + K - end
         pieces.append((p, i, q, j, 0))
     n, wrong = extend(a, b, i, j, 1)
     pieces.append((i, i + n, j, j + n, wrong))
-    # The stretch that gains most where an edit costs what SIMILARITY allows for it.
-    best, at, gain, begin = 0.0, None, 0.0, 0
-    for k, (p, i, q, j, edits) in enumerate(pieces):
-        if gain <= 0:
-            gain, begin = 0.0, k
-        gain += (1 - SIMILARITY) * max(i - p, j - q) - edits
-        if gain > best:
-            best, at = gain, (begin, k)
-    if at is None:
-        return None
-    taken = pieces[at[0] : at[1] + 1]
-    length = sum(max(i - p, j - q) for p, i, q, j, _ in taken)
-    alike = 1 - sum(e for *_, e in taken) / max(1, length)
-    start, end, from_, to = taken[0][0], taken[-1][1], taken[0][2], taken[-1][3]
-    if min(end - start, to - from_) < MIN_WORDS or alike < SIMILARITY:
-        return None
-    return start, end, from_, to, alike
+    # The stretch that gains most where an edit costs what SIMILARITY allows for it, then those on both sides of it.
+    out, todo = [], [(0, len(pieces))]
+    while todo:
+        low, high = todo.pop()
+        best, at, gain, begin = 0.0, None, 0.0, low
+        for k in range(low, high):
+            p, i, q, j, edits = pieces[k]
+            if gain <= 0:
+                gain, begin = 0.0, k
+            gain += (1 - SIMILARITY) * max(i - p, j - q) - edits
+            if gain > best:
+                best, at = gain, (begin, k)
+        if at is None:
+            continue
+        todo += [(low, at[0]), (at[1] + 1, high)]
+        taken = pieces[at[0] : at[1] + 1]
+        length = sum(max(i - p, j - q) for p, i, q, j, _ in taken)
+        alike = 1 - sum(e for *_, e in taken) / max(1, length)
+        start, end, from_, to = taken[0][0], taken[-1][1], taken[0][2], taken[-1][3]
+        if min(end - start, to - from_) >= MIN_WORDS and alike >= SIMILARITY:
+            out.append((start, end, from_, to, alike))
+    return sorted(out)
+
+
+def gap(a: list[bytes], b: list[bytes], i: int, p: int, j: int, q: int) -> list[tuple[int, int, int, int, int]]:
+    """Pieces of a[i:p] and b[j:q] between two seeds: where a repeat can't go through, what goes on from each seed is apart."""
+    edits = distance(a[i:p], b[j:q])
+    if (1 - SIMILARITY) * max(p - i, q - j) >= edits:
+        return [(i, p, j, q, edits)]
+    n, wrong = extend(a[i:p], b[j:q], 0, 0, 1)
+    m, other = extend(a[i + n : p], b[j + n : q], p - i - n - 1, q - j - n - 1, -1)
+    inner = distance(a[i + n : p - m], b[j + n : q - m])
+    return [(i, i + n, j, j + n, wrong), (i + n, p - m, j + n, q - m, inner), (p - m, p, q - m, q, other)]
 
 
 def spans(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -299,7 +315,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for whole in batches:
             rows_, out = [], []
             for n, (x, y, low_a, low_b, a, b) in enumerate(zip(*(c.to_pylist() for c in whole.columns[2:]))):
-                if (r := align(a.encode().split(), b.encode().split(), [i - low_a for i in x], [i - low_b for i in y])) is not None:
+                for r in align(a.encode().split(), b.encode().split(), [i - low_a for i in x], [i - low_b for i in y]):
                     rows_.append(n)
                     out.append((r[0] + low_a, r[1] + low_a, r[2] + low_b, r[3] + low_b, r[1] - r[0], r[4]))
             at = pa.array(rows_, pa.int64())

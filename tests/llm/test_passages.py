@@ -103,3 +103,21 @@ def test_planted_passages(spark):
 def test_without():
     assert P.without("a b  c d", [(1, 3)]) == "a  d".replace("  ", "  ")
     assert P.without("a b c", [(0, 3)]) == "" and P.without("a b c", [(2, 9), (1, 3)]) == "a"
+
+
+def test_all_passages_of_a_chain(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    docs, want = [], []
+    for gap, sizes in ((20, [60, 60]), (60, [60, 60, 60]), (45, [200, 60]), (120, [60, 60, 60])):
+        shared = [text(n) for n in sizes]
+        for _ in range(2):
+            body, places = text(30), []
+            for part in shared:
+                places.append((len(body), len(body) + len(part)))
+                body += part + text(gap)
+            docs.append((len(docs), " ".join(body)))
+        want += [(len(docs) - 1, *p) for p in places]
+    rows = P.repeats(spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in rows) == want
