@@ -56,19 +56,18 @@ def minimizers(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.flatnonzero(most[place - pad] == hashes)
 
 
-def numbered(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Seeds that tell apart what recurs within RUN words: the first of a run keeps its hash.
+def numbered(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds and their places in the input: all as they are, and numbered ones where a seed recurs within RUN words.
 
-    So runs of one word or line are matched in order, and far copies in one document all match.
+    So runs of one word or line are matched in order, and every copy in one document meets the first source.
     """
     order = np.lexsort((pos, hashes, doc))
     h, d, p = hashes[order], doc[order], pos[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] - p[:-1] > RUN)
     nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    out = np.empty_like(hashes)
-    out[order] = np.where(nth > 0, mix(h ^ mix(nth.astype(np.uint64))), h)
-    return out
+    again = nth > 0
+    return np.concatenate([hashes, mix(h[again] ^ mix(nth[again].astype(np.uint64)))]), np.concatenate([np.arange(len(h)), order[again]])
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -82,21 +81,29 @@ def seeds(docs: DataFrame) -> DataFrame:
                 doc = w.doc()[at]
                 keep = minimizers(hashes, doc)
                 pos = (at[keep] - w.first[doc[keep]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(numbered(hashes[keep], doc[keep], pos).view(np.int64)), b.column(0).take(pa.array(doc[keep])), pa.array(pos)], names=["seed", "doc", "pos"])
+                own, place = numbered(hashes[keep], doc[keep], pos)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), b.column(0).take(pa.array(doc[keep][place])), pa.array(pos[place])], names=["seed", "doc", "pos"])
 
     return docs.mapInArrow(run, f"seed bigint, doc {docs.schema['id'].dataType.simpleString()}, pos int")
 
 
 def chains(x: list[int], y: list[int]) -> list[list[int]]:
-    """Chains of two or more matches (x ascending and distinct), each match in one at most, best first."""
+    """Chains of two or more matches (x ascending), strictly forward in both, each match in one at most, best first."""
     n, cost = len(x), K / (2 * MAX_GAP)
     ranks = sorted(set(y))
     tree: list[tuple[float, int]] = [(-1e18, -1)] * (len(ranks) + 1)
     score, back = [0.0] * n, [-1] * n
+    done = 0
     for i in range(n):
-        r = bisect_left(ranks, y[i])
+        while x[done] < x[i]:  # of one place in x only what lies before it counts
+            mine, q = (score[done] + cost * (x[done] + y[done]), done), bisect_left(ranks, y[done]) + 1
+            while q <= len(ranks):
+                if mine[0] > tree[q][0]:
+                    tree[q] = mine
+                q += q & -q
+            done += 1
         best, at, far = -1e18, -1, cost * (x[i] + y[i])
-        q = r
+        q = bisect_left(ranks, y[i])
         while q:
             if tree[q][0] > best:
                 best, at = tree[q]
@@ -105,11 +112,6 @@ def chains(x: list[int], y: list[int]) -> list[list[int]]:
         score[i] = K
         if gain > 0:
             score[i], back[i] = K + gain, at
-        mine, q = (score[i] + far, i), r + 1
-        while q <= len(ranks):
-            if mine[0] > tree[q][0]:
-                tree[q] = mine
-            q += q & -q
     used, out = [False] * n, []
     for i in sorted(range(n), key=lambda i: (-score[i], i)):
         own = []

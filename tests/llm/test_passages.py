@@ -121,3 +121,21 @@ def test_all_passages_of_a_chain(spark):
         want += [(len(docs) - 1, *p) for p in places]
     rows = P.repeats(spark.createDataFrame(docs, "doc_id int, text string")).collect()
     assert sorted((r.doc_id, r.start_word, r.end_word) for r in rows) == want
+
+
+def test_both_copies_of_a_passage_meet_its_source(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    part = text(60)
+    docs = [(1, " ".join(text(40) + part + text(40))), (2, " ".join(part + text(40) + part + text(9)))]
+    rows = P.repeats(spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in rows) == [(2, 0, 60), (2, 100, 160)]
+
+
+def test_a_run_is_matched_in_order(spark):
+    rng = random.Random(18)
+    line = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(12)]
+    docs = [(1, " ".join(line * 9)), (2, " ".join(["other"] + line * 9))]
+    rows = P.repeats(spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert any((r.start_word, r.end_word) == (1, 109) for r in rows)
