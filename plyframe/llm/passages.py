@@ -2,7 +2,9 @@
 
 Seeds are five-word shingles; of each ten in a row the one with the least hash counts, so texts
 that share 14 words share a seed. An occurrence is matched with the seed's first one in the order
-of document ids: a passage in m documents gives m - 1 matches, never all pairs. Matches of two
+of document ids: a passage in m documents gives m - 1 matches, never all pairs. Where neighbouring seeds
+of a document are first in different places, several seeds in a row are matched with their first common
+occurrence too, so that a passage of lines that are first elsewhere meets its own first copy. Matches of two
 documents are chained: a chain goes forward in both, earns the words of its seeds and pays for the
 gaps, and the best one that ends in each match is found with a Fenwick tree of prefix maxima over
 the places in the earlier document. Chains are aligned word by word: seeds stand as they are, the
@@ -57,7 +59,7 @@ def minimizers(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def numbered(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds and their places in the input: all as they are, and numbered ones where a seed recurs within RUN words.
+    """Seeds and their places in the input: all plain (even), and numbered ones (odd) where a seed recurs within RUN words.
 
     So runs of one word or line are matched in order, and every copy in one document meets the first source.
     """
@@ -67,7 +69,8 @@ def numbered(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.n
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] - p[:-1] > RUN)
     nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     again = nth > 0
-    return np.concatenate([hashes, mix(h[again] ^ mix(nth[again].astype(np.uint64)))]), np.concatenate([np.arange(len(h)), order[again]])
+    one = np.uint64(1)
+    return np.concatenate([hashes & ~one, mix(h[again] ^ mix(nth[again].astype(np.uint64))) | one]), np.concatenate([np.arange(len(h)), order[again]])
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -124,8 +127,65 @@ def chains(x: list[int], y: list[int]) -> list[list[int]]:
     return out
 
 
+def seams(placed: DataFrame) -> DataFrame:
+    """``(seed, doc, pos)``: seeds in a row, as one, where neighbours have their first occurrence in different places.
+
+    ``placed(doc, src, pos, src_pos, seed)`` has plain seeds that recur, those of first occurrences too. Pairs
+    over each such seam are taken, and all seeds of about as many words as any passage of MIN_WORDS holds
+    whatever is around it. pos has the place of each.
+    """
+    kind = placed.schema["doc"].dataType.simpleString()
+    span = max(1, MIN_WORDS - K + 1 - 3 * (WINDOW - 1))
+    reach = WINDOW
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        n = t.num_rows
+        doc, src = (t.column(c).combine_chunks() for c in ("doc", "src"))
+        pos, at = (t.column(c).to_numpy().astype(np.int64) for c in ("pos", "src_pos"))
+        seed = t.column("seed").to_numpy().view(np.uint64)
+        near, seam = np.zeros(n, bool), np.zeros(n, bool)  # of each row and the next one
+        if n > 1:
+            other = lambda c: np.asarray(pa.compute.not_equal(c.slice(1), c.slice(0, n - 1)))
+            near[:-1] = ~other(doc) & (np.diff(pos) <= reach)
+            seam[:-1] = near[:-1] & (other(src) | (np.diff(at - pos) != 0))
+        row = np.arange(n)
+        stop = np.append(np.flatnonzero(~near), n)
+        last = stop[np.searchsorted(stop, row)] if n else row  # where the run of near rows ends
+        line = pos + np.cumsum(np.append(0, (~near[:-1]).astype(np.int64))) * (1 << 32) if n else pos
+        end = np.searchsorted(line, line + span) - 1
+        many = np.append(0, np.cumsum(seam))
+        wide = (end - row > 1) & (pos[end] - pos >= span - reach) & (many[end] > many[row]) & (end <= last) if n else seam
+        begin = np.concatenate([row[seam], row[wide]])
+        count = np.concatenate([np.full(int(seam.sum()), 2), (end - row)[wide] + 1])
+        unit = mix(count.astype(np.uint64))
+        for k in range(int(count.max(initial=0))):
+            own = count > k
+            unit[own] = mix(unit[own] * np.uint64(0x9E3779B97F4A7C15) + seed[begin[own] + k])
+        total = np.append(0, np.cumsum(count))
+        inner = np.arange(total[-1]) - np.repeat(total[:-1] - begin, count)
+        lists = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(pos[inner].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), doc.take(pa.array(begin)), lists], names=["seed", "doc", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            new = pa.Table.from_batches([b])
+            held = new if held is None else pa.concat_tables([held, new])
+            doc = held.column("doc").combine_chunks()
+            if len(doc) > 1:
+                edge = np.flatnonzero(np.asarray(pa.compute.not_equal(doc.slice(1), doc.slice(0, len(doc) - 1))))
+                if len(edge):
+                    yield solve(held.slice(0, int(edge[-1]) + 1))
+                    held = held.slice(int(edge[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield solve(held)
+
+    return placed.sortWithinPartitions("doc", "pos").mapInArrow(run, f"seed bigint, doc {kind}, pos array<int>")
+
+
 def chained(matches: DataFrame) -> DataFrame:
-    """``(doc, src, x, y)``: places of each chain of ``(doc, src, pos, src_pos)`` in both documents."""
+    """``(doc, src, x, y)``: places of each chain of ``(doc, src, pos, src_pos)``, dealt by doc, in both documents."""
     kind = matches.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +224,7 @@ def chained(matches: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield solve(held)
 
-    dealt = matches.select("doc", "src", "pos", "src_pos").repartition("doc", "src").sortWithinPartitions("doc", "src", "pos", "src_pos")
+    dealt = matches.select("doc", "src", "pos", "src_pos").sortWithinPartitions("doc", "src", "pos", "src_pos")
     return dealt.mapInArrow(run, f"doc {kind}, src {kind}, x array<int>, y array<int>")
 
 
@@ -286,6 +346,13 @@ def spans(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"chain {kind}, role int, low int, span string")
 
 
+def first_places(found: DataFrame) -> DataFrame:
+    """``(doc, src, pos, src_pos, seed)`` of ``(seed, doc, pos)`` for seeds that recur: where each one is and is first."""
+    first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("seed", F.col("first.doc").alias("src"), F.col("first.pos").alias("src_pos"))
+    return found.join(first, "seed").select("doc", "src", "pos", "src_pos", "seed")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, src_doc_id, start_word, end_word, src_start_word, src_end_word, n_words, similarity)``.
 
@@ -300,9 +367,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if not again.isEmpty():
         rows = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     found = seeds(rows)
-    first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("seed", F.col("first.doc").alias("src"), F.col("first.pos").alias("src_pos"))
-    matches = found.join(first, "seed").where("doc <> src").select("doc", "src", "pos", "src_pos")
-    linked = cut(chained(matches).withColumn("chain", F.monotonically_increasing_id()))
+    placed = first_places(found).repartition("doc")
+    units = seams(placed.where("seed & 1 = 0"))
+    again = first_places(units).where("doc <> src").select("doc", "src", F.explode(F.arrays_zip("pos", "src_pos")).alias("m")).select("doc", "src", "m.pos", "m.src_pos")
+    linked = cut(chained(placed.where("doc <> src")).unionAll(chained(again.distinct().repartition("doc"))).withColumn("chain", F.monotonically_increasing_id()))
 
     def side(role: int, who: str, at: str):
         return F.struct(F.col(who).alias("id"), F.lit(role).alias("role"), F.greatest(F.lit(0), F.array_min(at) - MARGIN).alias("low"), (F.array_max(at) + K + MARGIN).alias("high"))
@@ -326,7 +394,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     names = [id_col, f"src_{id_col}", "start_word", "end_word", "src_start_word", "src_end_word", "n_words", "similarity"]
     paired = linked.join(a, "chain").join(b, "chain").select("doc", "src", "x", "y", "low_a", "low_b", "a", "b")
-    return paired.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, [kind, kind, *["int"] * 5, "double"])))
+    return paired.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, [kind, kind, *["int"] * 5, "double"]))).distinct()
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,3 +139,18 @@ def test_a_run_is_matched_in_order(spark):
     docs = [(1, " ".join(line * 9)), (2, " ".join(["other"] + line * 9))]
     rows = P.repeats(spark.createDataFrame(docs, "doc_id int, text string")).collect()
     assert any((r.start_word, r.end_word) == (1, 109) for r in rows)
+
+
+def test_parts_that_are_first_elsewhere(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    docs, want = [], []
+    for sizes in ((30, 30), (20, 20, 20), (40, 40, 40)):
+        lines = [text(n) for n in sizes]
+        docs += [(len(docs) + k, " ".join(text(30) + line + text(30))) for k, line in enumerate(lines)]
+        whole = sum(lines, [])
+        docs += [(len(docs), " ".join(text(25) + whole + text(25))), (len(docs) + 1, " ".join(text(35) + whole + text(5)))]
+        want.append((len(docs) - 1, len(docs) - 2, 35, 35 + len(whole)))
+    rows = P.repeats(spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert sorted((r.doc_id, r.src_doc_id, r.start_word, r.end_word) for r in rows) == want
