@@ -127,105 +127,92 @@ def chains(x: list[int], y: list[int]) -> list[list[int]]:
     return out
 
 
-def seams(placed: DataFrame) -> DataFrame:
-    """``(seed, doc, pos)``: seeds in a row, as one, where neighbours have their first occurrence in different places.
+def seams(t: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Seed, doc and places of seeds in a row, as one, where neighbours have their first occurrence in different places.
 
-    ``placed(doc, src, pos, src_pos, seed)`` has plain seeds that recur, those of first occurrences too. Pairs
+    ``t(doc, src, pos, src_pos, seed)`` has plain seeds that recur, in order, those of first occurrences too. Pairs
     over each such seam are taken, and all seeds of about as many words as any passage of MIN_WORDS holds
-    whatever is around it. pos has the place of each.
+    whatever is around it.
     """
-    kind = placed.schema["doc"].dataType.simpleString()
     span = max(1, MIN_WORDS - K + 1 - 3 * (WINDOW - 1))
-    reach = WINDOW
-
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        n = t.num_rows
-        doc, src = (t.column(c).combine_chunks() for c in ("doc", "src"))
-        pos, at = (t.column(c).to_numpy().astype(np.int64) for c in ("pos", "src_pos"))
-        seed = t.column("seed").to_numpy().view(np.uint64)
-        near, seam = np.zeros(n, bool), np.zeros(n, bool)  # of each row and the next one
-        if n > 1:
-            other = lambda c: np.asarray(pa.compute.not_equal(c.slice(1), c.slice(0, n - 1)))
-            near[:-1] = ~other(doc) & (np.diff(pos) <= reach)
-            seam[:-1] = near[:-1] & (other(src) | (np.diff(at - pos) != 0))
-        row = np.arange(n)
-        stop = np.append(np.flatnonzero(~near), n)
-        last = stop[np.searchsorted(stop, row)] if n else row  # where the run of near rows ends
-        line = pos + np.cumsum(np.append(0, (~near[:-1]).astype(np.int64))) * (1 << 32) if n else pos
-        end = np.searchsorted(line, line + span) - 1
-        many = np.append(0, np.cumsum(seam))
-        wide = (end - row > 1) & (pos[end] - pos >= span - reach) & (many[end] > many[row]) & (end <= last) if n else seam
-        begin = np.concatenate([row[seam], row[wide]])
-        count = np.concatenate([np.full(int(seam.sum()), 2), (end - row)[wide] + 1])
-        unit = mix(count.astype(np.uint64))
-        for k in range(int(count.max(initial=0))):
-            own = count > k
-            unit[own] = mix(unit[own] * np.uint64(0x9E3779B97F4A7C15) + seed[begin[own] + k])
-        total = np.append(0, np.cumsum(count))
-        inner = np.arange(total[-1]) - np.repeat(total[:-1] - begin, count)
-        lists = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(pos[inner].astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), doc.take(pa.array(begin)), lists], names=["seed", "doc", "pos"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            new = pa.Table.from_batches([b])
-            held = new if held is None else pa.concat_tables([held, new])
-            doc = held.column("doc").combine_chunks()
-            if len(doc) > 1:
-                edge = np.flatnonzero(np.asarray(pa.compute.not_equal(doc.slice(1), doc.slice(0, len(doc) - 1))))
-                if len(edge):
-                    yield solve(held.slice(0, int(edge[-1]) + 1))
-                    held = held.slice(int(edge[-1]) + 1)
-        if held is not None and held.num_rows:
-            yield solve(held)
-
-    return placed.sortWithinPartitions("doc", "pos").mapInArrow(run, f"seed bigint, doc {kind}, pos array<int>")
-
+    n = t.num_rows
+    doc, src = (t.column(c).combine_chunks() for c in ("doc", "src"))
+    pos, at = (t.column(c).to_numpy().astype(np.int64) for c in ("pos", "src_pos"))
+    seed = t.column("seed").to_numpy().view(np.uint64)
+    near, seam = np.zeros(n, bool), np.zeros(n, bool)  # of each row and the next one
+    if n > 1:
+        other = lambda c: np.asarray(pa.compute.not_equal(c.slice(1), c.slice(0, n - 1)))
+        near[:-1] = ~other(doc) & (np.diff(pos) <= WINDOW)
+        seam[:-1] = near[:-1] & (other(src) | (np.diff(at - pos) != 0))
+    row = np.arange(n)
+    stop = np.append(np.flatnonzero(~near), n)
+    last = stop[np.searchsorted(stop, row)] if n else row  # where the run of near rows ends
+    line = pos + np.cumsum(np.append(0, (~near[:-1]).astype(np.int64))) * (1 << 32) if n else pos
+    end = np.searchsorted(line, line + span) - 1
+    many = np.append(0, np.cumsum(seam))
+    wide = (end - row > 1) & (pos[end] - pos >= span - WINDOW) & (many[end] > many[row]) & (end <= last) if n else seam
+    begin = np.concatenate([row[seam], row[wide]])
+    count = np.concatenate([np.full(int(seam.sum()), 2), (end - row)[wide] + 1])
+    unit = mix(count.astype(np.uint64))
+    for k in range(int(count.max(initial=0))):
+        own = count > k
+        unit[own] = mix(unit[own] * np.uint64(0x9E3779B97F4A7C15) + seed[begin[own] + k])
+    total = np.append(0, np.cumsum(count))
+    inner = np.arange(total[-1]) - np.repeat(total[:-1] - begin, count)
+    lists = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(pos[inner].astype(np.int32)))
+    return pa.array(unit.view(np.int64)), doc.take(pa.array(begin)), lists
+
+
+def chained(placed: DataFrame, with_seams: bool) -> DataFrame:
+    """``(doc, src, x, y, seed)``: places of each chain of ``placed(doc, src, pos, src_pos, seed)`` in both documents.
+
+    With seams, these follow with their seed and their places in x.
+    """
+    kind = placed.schema["doc"].dataType.simpleString()
 
-def chained(matches: DataFrame) -> DataFrame:
-    """``(doc, src, x, y)``: places of each chain of ``(doc, src, pos, src_pos)``, dealt by doc, in both documents."""
-    kind = matches.schema["doc"].dataType.simpleString()
+    def changes(*columns: pa.Array) -> np.ndarray:
+        change = np.zeros(len(columns[0]), bool)
+        change[:1] = True
+        for c in columns:
+            if len(c) > 1:
+                change[1:] |= np.asarray(pa.compute.not_equal(c.slice(1), c.slice(0, len(c) - 1)))
+        return change
+
+    def solve(whole: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = whole.filter(pa.compute.not_equal(whole.column("doc"), whole.column("src"))).combine_chunks()
+        doc, src = t.column(0).combine_chunks(), t.column(1).combine_chunks()
+        x, y = t.column(2).to_numpy(), t.column(3).to_numpy()
+        edge = np.flatnonzero(changes(doc, src))
+        end = np.append(edge[1:], len(x))
+        rows, xs, ys = [], [], []
+        for a, b in zip(edge[end - edge > 1].tolist(), end[end - edge > 1].tolist()):
+            gx, gy = x[a:b].tolist(), y[a:b].tolist()
+            for c in chains(gx, gy):
+                rows.append(a)
+                xs.append([gx[i] for i in c])
+                ys.append([gy[i] for i in c])
+        at, places = pa.array(rows, pa.int64()), pa.list_(pa.int32())
+        names = ["doc", "src", "x", "y", "seed"]
+        yield pa.RecordBatch.from_arrays([doc.take(at), src.take(at), pa.array(xs, places), pa.array(ys, places), pa.nulls(len(rows), pa.int64())], names=names)
+        if with_seams:
+            t = whole.filter(pa.array(whole.column("seed").to_numpy() & 1 == 0)).combine_chunks()
+            order = np.lexsort((t.column("pos").to_numpy(), np.cumsum(changes(t.column("doc").combine_chunks()))))
+            seed, own, pos = seams(t.take(pa.array(order)).combine_chunks())
+            yield pa.RecordBatch.from_arrays([own, pa.nulls(len(own), own.type), pos, pa.nulls(len(own), places), seed], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            doc, src = t.column(0).combine_chunks(), t.column(1).combine_chunks()
-            x, y = t.column(2).to_numpy(), t.column(3).to_numpy()
-            edge = starts(t)
-            end = np.append(edge[1:], len(x))
-            rows, xs, ys = [], [], []
-            for a, b in zip(edge[end - edge > 1].tolist(), end[end - edge > 1].tolist()):
-                gx, gy = x[a:b].tolist(), y[a:b].tolist()
-                for c in chains(gx, gy):
-                    rows.append(a)
-                    xs.append([gx[i] for i in c])
-                    ys.append([gy[i] for i in c])
-            at = pa.array(rows, pa.int64())
-            return pa.RecordBatch.from_arrays([doc.take(at), src.take(at), pa.array(xs, pa.list_(pa.int32())), pa.array(ys, pa.list_(pa.int32()))], names=["doc", "src", "x", "y"])
-
-        def starts(t: pa.Table) -> np.ndarray:
-            a, b = (t.column(i).combine_chunks() for i in (0, 1))
-            change = np.ones(len(a), bool)
-            for c in (a, b):
-                if len(c) > 1:
-                    other = np.asarray(pa.compute.not_equal(c.slice(1), c.slice(0, len(c) - 1)))
-                    change[1:] = other if c is a else change[1:] | other
-            return np.flatnonzero(change)
-
         for b in batches:
             new = pa.Table.from_batches([b])
             held = new if held is None else pa.concat_tables([held, new])
-            if held.num_rows and len(edge := starts(held)) > 1:
-                yield solve(held.slice(0, int(edge[-1])))
+            if held.num_rows and len(edge := np.flatnonzero(changes(held.column("doc").combine_chunks()))) > 1:
+                yield from solve(held.slice(0, int(edge[-1])))
                 held = held.slice(int(edge[-1]))
         if held is not None and held.num_rows:
-            yield solve(held)
+            yield from solve(held)
 
-    dealt = matches.select("doc", "src", "pos", "src_pos").sortWithinPartitions("doc", "src", "pos", "src_pos")
-    return dealt.mapInArrow(run, f"doc {kind}, src {kind}, x array<int>, y array<int>")
+    dealt = placed.select("doc", "src", "pos", "src_pos", "seed").repartition("doc").sortWithinPartitions("doc", "src", "pos", "src_pos")
+    return dealt.mapInArrow(run, f"doc {kind}, src {kind}, x array<int>, y array<int>, seed bigint")
 
 
 def distance(a: list[bytes], b: list[bytes]) -> int:
@@ -367,10 +354,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if not again.isEmpty():
         rows = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     found = seeds(rows)
-    placed = first_places(found).repartition("doc")
-    units = seams(placed.where("seed & 1 = 0"))
-    again = first_places(units).where("doc <> src").select("doc", "src", F.explode(F.arrays_zip("pos", "src_pos")).alias("m")).select("doc", "src", "m.pos", "m.src_pos")
-    linked = cut(chained(placed.where("doc <> src")).unionAll(chained(again.distinct().repartition("doc"))).withColumn("chain", F.monotonically_increasing_id()))
+    once = cut(chained(first_places(found), True))
+    units = once.where("seed is not null").select("seed", "doc", F.col("x").alias("pos"))
+    matches = first_places(units).where("doc <> src").select("doc", "src", F.explode(F.arrays_zip("pos", "src_pos")).alias("m")).select("doc", "src", "m.pos", "m.src_pos").distinct()
+    again = chained(matches.withColumn("seed", F.lit(0).cast("bigint")), False)
+    linked = cut(once.where("seed is null").unionAll(again).select("doc", "src", "x", "y").withColumn("chain", F.monotonically_increasing_id()))
 
     def side(role: int, who: str, at: str):
         return F.struct(F.col(who).alias("id"), F.lit(role).alias("role"), F.greatest(F.lit(0), F.array_min(at) - MARGIN).alias("low"), (F.array_max(at) + K + MARGIN).alias("high"))
