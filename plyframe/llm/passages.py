@@ -1,7 +1,7 @@
 """Fuzzy repeated passages, by chaining shared k-mer seeds.
 
-Seeds are five-word shingles; of each ten in a row the one with the least hash counts, so texts
-that share 14 words share a seed. An occurrence is matched with the seed's first one in the order
+Seeds are five-word shingles; of each four in a row the one with the least hash counts, so texts
+that share eight words share a seed. An occurrence is matched with the seed's first one in the order
 of document ids: a passage in m documents gives m - 1 matches, never all pairs. Where neighbouring seeds
 of a document are first in different places, several seeds in a row are matched with their first common
 occurrence too, so that a passage of lines that are first elsewhere meets its own first copy. Matches of two
@@ -22,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyframe.llm.common import Words, cut, mix, slices, table
 
-K, WINDOW, MIN_WORDS, SIMILARITY = 5, 10, 50, 0.8
+K, WINDOW, MIN_WORDS, SIMILARITY = 5, 4, 50, 0.8
 #: Words that a gap of may cost as much as a seed earns; words read beyond the outer seeds.
 MAX_GAP, MARGIN = 25, 64
 #: Words between two occurrences of a seed that belong to one run.
@@ -127,8 +127,8 @@ def chains(x: list[int], y: list[int]) -> list[list[int]]:
     return out
 
 
-def seams(t: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """Seed, doc and places of seeds in a row, as one, where neighbours have their first occurrence in different places.
+def seams(t: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array]:
+    """Seed, first row, doc and places of seeds in a row, as one, where neighbours have their first occurrence in different places.
 
     ``t(doc, src, pos, src_pos, seed)`` has plain seeds that recur, in order, those of first occurrences too. Pairs
     over each such seam are taken, and all seeds of about as many words as any passage of MIN_WORDS holds
@@ -160,13 +160,33 @@ def seams(t: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array]:
     total = np.append(0, np.cumsum(count))
     inner = np.arange(total[-1]) - np.repeat(total[:-1] - begin, count)
     lists = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(pos[inner].astype(np.int32)))
-    return pa.array(unit.view(np.int64)), doc.take(pa.array(begin)), lists
+    return pa.array(unit.view(np.int64)), begin, doc.take(pa.array(begin)), lists
+
+
+def exact(xs: list[list[int]], ys: list[list[int]], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts, ascending, and the furthest end so far of stretches of MIN_WORDS and more whose words are all in common seeds.
+
+    Places are in x of each chain, added to 2**32 times its number.
+    """
+    size = np.array([len(c) for c in xs], np.int64)
+    x, y = (np.array([i for c in v for i in c], np.int64) for v in (xs, ys))
+    new = np.ones(len(x), bool)
+    new[1:] = (np.diff(x) > K) | (np.diff(x) != np.diff(y))
+    new[np.cumsum(size)[:-1]] = True
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(x))[: len(begin)] - 1
+    long = x[end] + K - x[begin] >= MIN_WORDS
+    shift = (np.repeat(number.astype(np.int64), size) << 32)[begin[long]]
+    low, high = shift + x[begin[long]], shift + x[end[long]] + K
+    order = np.argsort(low, kind="stable")
+    return low[order], np.maximum.accumulate(high[order])
 
 
 def chained(placed: DataFrame, with_seams: bool) -> DataFrame:
-    """``(doc, src, x, y, seed)``: places of each chain of ``placed(doc, src, pos, src_pos, seed)`` in both documents.
+    """``(doc, src, x, y, seed, known)``: places of each chain of ``placed(doc, src, pos, src_pos, seed)`` in both documents.
 
-    With seams, these follow with their seed and their places in x.
+    With seams, these follow with their seed and their places in x; known are those within a stretch of a chain that
+    is surely a repeat.
     """
     kind = placed.schema["doc"].dataType.simpleString()
 
@@ -192,13 +212,21 @@ def chained(placed: DataFrame, with_seams: bool) -> DataFrame:
                 xs.append([gx[i] for i in c])
                 ys.append([gy[i] for i in c])
         at, places = pa.array(rows, pa.int64()), pa.list_(pa.int32())
-        names = ["doc", "src", "x", "y", "seed"]
-        yield pa.RecordBatch.from_arrays([doc.take(at), src.take(at), pa.array(xs, places), pa.array(ys, places), pa.nulls(len(rows), pa.int64())], names=names)
+        names = ["doc", "src", "x", "y", "seed", "known"]
+        yield pa.RecordBatch.from_arrays([doc.take(at), src.take(at), pa.array(xs, places), pa.array(ys, places), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.bool_())], names=names)
         if with_seams:
-            t = whole.filter(pa.array(whole.column("seed").to_numpy() & 1 == 0)).combine_chunks()
-            order = np.lexsort((t.column("pos").to_numpy(), np.cumsum(changes(t.column("doc").combine_chunks()))))
-            seed, own, pos = seams(t.take(pa.array(order)).combine_chunks())
-            yield pa.RecordBatch.from_arrays([own, pa.nulls(len(own), own.type), pos, pa.nulls(len(own), places), seed], names=names)
+            number = np.cumsum(changes(whole.column("doc").combine_chunks()))
+            other = np.asarray(pa.compute.not_equal(whole.column("doc"), whole.column("src")))
+            low, high = exact(xs, ys, number[other][rows])
+            plain = whole.column("seed").to_numpy() & 1 == 0
+            t, number = whole.filter(pa.array(plain)), number[plain]
+            order = np.lexsort((t.column("pos").to_numpy(), number))
+            seed, begin, own, pos = seams(t.take(pa.array(order)).combine_chunks())
+            x, base = pos.values.to_numpy(), pos.offsets.to_numpy()
+            shift = number[order][begin] << 32
+            at = np.searchsorted(low, shift + x[base[:-1]], "right")
+            known = np.append(-1, high)[at] >= shift + x[base[1:] - 1] + K
+            yield pa.RecordBatch.from_arrays([own, pa.nulls(len(own), own.type), pos, pa.nulls(len(own), places), seed, pa.array(known)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -212,7 +240,7 @@ def chained(placed: DataFrame, with_seams: bool) -> DataFrame:
             yield from solve(held)
 
     dealt = placed.select("doc", "src", "pos", "src_pos", "seed").repartition("doc").sortWithinPartitions("doc", "src", "pos", "src_pos")
-    return dealt.mapInArrow(run, f"doc {kind}, src {kind}, x array<int>, y array<int>, seed bigint")
+    return dealt.mapInArrow(run, f"doc {kind}, src {kind}, x array<int>, y array<int>, seed bigint, known boolean")
 
 
 def distance(a: list[bytes], b: list[bytes]) -> int:
@@ -293,16 +321,40 @@ def align(a: list[bytes], b: list[bytes], x: list[int], y: list[int]) -> list[tu
                 best, at = gain, (begin, k)
         if at is None:
             continue
+        if span(pieces, *at) < MIN_WORDS:
+            at = widest(pieces, low, high, *at, best)
         todo += [(low, at[0]), (at[1] + 1, high)]
         taken = pieces[at[0] : at[1] + 1]
         length = sum(max(i - p, j - q) for p, i, q, j, _ in taken)
         alike = 1 - sum(e for *_, e in taken) / max(1, length)
         start, end, from_, to = taken[0][0], taken[-1][1], taken[0][2], taken[-1][3]
-        if min(end - start, to - from_) >= MIN_WORDS and alike >= SIMILARITY:
+        if span(pieces, *at) >= MIN_WORDS and alike >= SIMILARITY:
             out.append((start, end, from_, to, alike))
     return sorted(out)
 
 
+def span(pieces: list[tuple[int, int, int, int, int]], first: int, last: int) -> int:
+    """Words from one piece to another, in the document where they are fewer."""
+    return min(pieces[last][1] - pieces[first][0], pieces[last][3] - pieces[first][2])
+
+
+def widest(pieces: list[tuple[int, int, int, int, int]], low: int, high: int, first: int, last: int, gain: float) -> tuple[int, int]:
+    """The longest stretch around a short one of that gain that is still as alike as SIMILARITY, between equal words."""
+    sides = []
+    for places in (range(first - 1, low - 1, -1), range(last + 1, high)):
+        own, lost = [(first if places.step < 0 else last, 0.0)], 0.0
+        for k in places:
+            p, i, q, j, edits = pieces[k]
+            lost += edits - (1 - SIMILARITY) * max(i - p, j - q)
+            if lost > 2 * gain + MIN_WORDS * (1 - SIMILARITY):
+                break
+            if not edits and i > p:
+                own.append((k, lost))
+        sides.append(own)
+    fits = [(s, e) for s, a in sides[0] for e, b in sides[1] if a + b <= gain + 1e-9]
+    return max(fits, key=lambda f: span(pieces, *f))
+
+
 def gap(a: list[bytes], b: list[bytes], i: int, p: int, j: int, q: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces of a[i:p] and b[j:q] between two seeds: where a repeat can't go through, what goes on from each seed is apart."""
     edits = distance(a[i:p], b[j:q])
@@ -333,11 +385,11 @@ def spans(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"chain {kind}, role int, low int, span string")
 
 
-def first_places(found: DataFrame) -> DataFrame:
+def first_places(found: DataFrame, *more: str) -> DataFrame:
     """``(doc, src, pos, src_pos, seed)`` of ``(seed, doc, pos)`` for seeds that recur: where each one is and is first."""
     first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.select("seed", F.col("first.doc").alias("src"), F.col("first.pos").alias("src_pos"))
-    return found.join(first, "seed").select("doc", "src", "pos", "src_pos", "seed")
+    return found.join(first, "seed").select("doc", "src", "pos", "src_pos", "seed", *more)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,8 +407,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     found = seeds(rows)
     once = cut(chained(first_places(found), True))
-    units = once.where("seed is not null").select("seed", "doc", F.col("x").alias("pos"))
-    matches = first_places(units).where("doc <> src").select("doc", "src", F.explode(F.arrays_zip("pos", "src_pos")).alias("m")).select("doc", "src", "m.pos", "m.src_pos").distinct()
+    units = once.where("seed is not null").select("seed", "doc", F.col("x").alias("pos"), "known")
+    # What is a repeat already needs no other source, but may be one.
+    matches = first_places(units, "known").where("doc <> src and not known").select("doc", "src", F.explode(F.arrays_zip("pos", "src_pos")).alias("m")).select("doc", "src", "m.pos", "m.src_pos").distinct()
     again = chained(matches.withColumn("seed", F.lit(0).cast("bigint")), False)
     linked = cut(once.where("seed is null").unionAll(again).select("doc", "src", "x", "y").withColumn("chain", F.monotonically_increasing_id()))
 
@@ -382,7 +435,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     names = [id_col, f"src_{id_col}", "start_word", "end_word", "src_start_word", "src_end_word", "n_words", "similarity"]
     paired = linked.join(a, "chain").join(b, "chain").select("doc", "src", "x", "y", "low_a", "low_b", "a", "b")
-    return paired.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, [kind, kind, *["int"] * 5, "double"]))).distinct()
+    aligned = paired.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, [kind, kind, *["int"] * 5, "double"])))
+    # Two chains of one pair may give one stretch, or a part of it that the margin ended.
+    before = Window.partitionBy(*names[:2], F.col("src_end_word") - F.col("end_word")).orderBy("start_word", F.desc("end_word")).rowsBetween(Window.unboundedPreceding, -1)
+    return aligned.withColumn("reached", F.max("end_word").over(before)).where("reached is null or reached < end_word").drop("reached")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

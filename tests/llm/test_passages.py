@@ -154,3 +154,18 @@ def test_parts_that_are_first_elsewhere(spark):
         want.append((len(docs) - 1, len(docs) - 2, 35, 35 + len(whole)))
     rows = P.repeats(spark.createDataFrame(docs, "doc_id int, text string")).collect()
     assert sorted((r.doc_id, r.src_doc_id, r.start_word, r.end_word) for r in rows) == want
+
+
+def test_edited_passages_are_found(spark):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    docs = []
+    for _ in range(80):
+        part = text(80)
+        copy = list(part)
+        for i in rng.sample(range(80), 12):
+            copy[i] = word()
+        docs += [(len(docs) + k, " ".join(text(40) + p + text(40))) for k, p in enumerate((part, copy))]
+    rows = P.repeats(spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert len({r.doc_id for r in rows}) >= 76 and all(r.n_words >= 50 and r.similarity >= 0.8 for r in rows)
