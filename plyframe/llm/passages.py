@@ -11,8 +11,12 @@ the places in the earlier document. Chains are aligned word by word: seeds stand
 gaps between them by edit distance, and both ends are extended, as are the ends at a gap that parts
 two passages. Each stretch of a chain that is at least 50 words long and at least 0.8 alike is a repeat.
 
-Seeds are pre-aggregated before they are shuffled and joined to one row a seed, a document's matches are
-bounded by its own length, and texts are read once more, for the spans of chains only.
+Seeds are shuffled once and stream through their task in order, so that it holds one first occurrence. Seeds
+that are a large share of all have their first occurrence looked up beforehand and are dealt over all tasks.
+Seeds that overlap become runs of equal words; only the words outside of runs are sent from one document
+to the other. A document's matches are bounded by its own length.
+
+A row is told by its id and, where an id has several texts, a hash of its text (``key``, else 0).
 """
 
 from __future__ import annotations
@@ -22,16 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import Words, cut, mix, slices, table
+from plyframe.llm.common import Words, mix, powers, slices, table, written
 
 K, WINDOW, MIN_WORDS, SIMILARITY = 5, 4, 50, 0.8
 #: Words that a gap of may cost as much as a seed earns; words read beyond the outer seeds.
 MAX_GAP, MARGIN = 25, 64
 #: Words between two occurrences of a seed that belong to one run.
 RUN = 256
+#: Seeds that are one in so many, in one of so many documents, are dealt over all tasks. This decides where rows go, not which count.
+HOT, LOOKED_AT = 2048, 32
+#: A step of a chain that is shorter, in both documents together, pays whatever the chain has earned so far.
+SURE = 2 * K + 2 * MAX_GAP
 #: Extension: what a mismatch costs in matches, and how far a score may fall from its best.
 MISMATCH, DROP = 3, 8
 
@@ -73,21 +82,103 @@ def numbered(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.n
     return np.concatenate([hashes & ~one, mix(h[again] ^ mix(nth[again].astype(np.uint64))) | one]), np.concatenate([np.arange(len(h)), order[again]])
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """``(seed, doc, pos)`` of ``(id, text)``; pos counts words from 0."""
+def seeds(docs: DataFrame, only: list[int] | None = None) -> DataFrame:
+    """``(seed, pos, doc, key)`` of ``(doc, key, text)``; pos counts words from 0. ``only``: the first ones of these seeds in each run of rows."""
+    own = ids(docs)
+    wanted = None if only is None else np.sort(np.array(only, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 1):
-                w = Words(b.column(1))
+            for b in slices(whole, len(own)):
+                w = Words(b.column(len(own)))
                 hashes, at = w.shingles(K)
                 doc = w.doc()[at]
                 keep = minimizers(hashes, doc)
                 pos = (at[keep] - w.first[doc[keep]]).astype(np.int32)
-                own, place = numbered(hashes[keep], doc[keep], pos)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), b.column(0).take(pa.array(doc[keep][place])), pa.array(pos[place])], names=["seed", "doc", "pos"])
+                seed, place = numbered(hashes[keep], doc[keep], pos)
+                seed = seed.view(np.int64)
+                if wanted is not None:
+                    near = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, seed), len(wanted) - 1)] == seed) if len(wanted) else np.zeros(0, np.int64)
+                    seed, place = seed[near], place[near]
+                row = pa.array(doc[keep][place])
+                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(pos[place]), *(b.column(k).take(row) for k in range(len(own)))], names=["seed", "pos", *own])
+
+    return docs.select(*own, "text").mapInArrow(run, schema("seed bigint, pos int", docs, own))
+
+
+def ids(df: DataFrame, prefix: str = "") -> list[str]:
+    """The columns that tell a row: ``doc`` and, where ids repeat, ``key``."""
+    return [c for c in ("doc", "key") if c in df.columns] if not prefix else [{"doc": "src", "key": "src_key"}[c] for c in ids(df)]
+
+
+def schema(head: str, df: DataFrame, columns: list[str]) -> str:
+    """A schema's text: ``head``, then columns with the types that ``df`` has for them (sources as their documents)."""
+    kind = df.schema["doc"].dataType.simpleString()
+    return ", ".join([*[head][: bool(head)], *(f"{c} {kind if c in ('doc', 'src') else 'bigint'}" for c in columns)])
+
+
+def changes(*columns: pa.Array) -> np.ndarray:
+    """Whether a row differs from the one before in any column."""
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    for c in columns:
+        if len(c) > 1:
+            change[1:] |= np.asarray(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)))
+    return change
+
+
+def frequent(some: DataFrame) -> list[int]:
+    """Seeds that are one in HOT of ``some``: at most HOT."""
+    counts = some.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= LOOKED_AT)
+    counts, total = counts.collect(), some.count()
+    return [r.seed for r in counts if r.n * HOT >= total]
+
 
-    return docs.mapInArrow(run, f"seed bigint, doc {docs.schema['id'].dataType.simpleString()}, pos int")
+def first_places(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """``found(seed, pos, doc, key)`` for seeds that recur, with ``(src_pos, src, src_key)``: where each one is first.
+
+    First occurrences come too, as their own source. Other columns stay. ``hot`` has occurrences of very frequent seeds,
+    the first one among them; they are dealt over all tasks.
+    """
+    own, src = ids(found), ids(found, "src")
+    first = hot.groupBy("seed").agg(F.min(F.struct(*own, "pos")).alias("f")).select("seed", "f.*").toArrow().sort_by("seed").combine_chunks()
+    seed = first.column("seed").to_numpy()
+    target = F.when(F.col("seed").isin(seed.tolist()), F.xxhash64("seed", *own)).otherwise(F.col("seed")) if len(seed) else F.col("seed")
+    dealt = found.repartition(target).sortWithinPartitions("seed", *own, "pos")
+    names = [*found.columns, "src_pos", *src]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, told = None, False  # the first row of the seed that a batch ended with, and whether it has come out
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.concat_batches([held, b]) if held is not None else b
+            seeds_ = t.column("seed").to_numpy()
+            new = np.flatnonzero(np.append(True, seeds_[1:] != seeds_[:-1]))
+            size = np.diff(np.append(new, len(seeds_)))
+            out = np.repeat(size > 1, size)
+            among = None
+            if len(seed):
+                near = np.minimum(np.searchsorted(seed, seeds_), len(seed) - 1)
+                among = seed[near] == seeds_
+                out |= among
+            last = int(new[-1])
+            ended = bool(out[last])
+            if told:
+                out[0] = False
+            told = ended or (told and last == 0)
+            held = t.slice(last, 1)
+            rows = np.flatnonzero(out)
+            at = pa.array(rows)
+            begin = pa.array(np.repeat(new, size)[rows])
+            places = [t.column(c).take(begin) for c in ("pos", *own)]
+            if among is not None and among[rows].any():
+                near, among = pa.array(near[rows]), pa.array(among[rows])
+                places = [pc.if_else(among, first.column(c).combine_chunks().take(near), p) for c, p in zip(("pos", *own), places)]
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in t.columns), *places], names=names)
+
+    head = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in found.schema), "src_pos int"])
+    return dealt.mapInArrow(run, schema(head, found, src))
 
 
 def chains(x: list[int], y: list[int]) -> list[list[int]]:
@@ -127,120 +218,132 @@ def chains(x: list[int], y: list[int]) -> list[list[int]]:
     return out
 
 
-def seams(t: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array]:
-    """Seed, first row, doc and places of seeds in a row, as one, where neighbours have their first occurrence in different places.
+#: For hashes of rows of seeds: a multiplier and its inverse modulo 2**64.
+STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
 
-    ``t(doc, src, pos, src_pos, seed)`` has plain seeds that recur, in order, those of first occurrences too. Pairs
-    over each such seam are taken, and all seeds of about as many words as any passage of MIN_WORDS holds
-    whatever is around it.
+
+def seams(group: np.ndarray, pos: np.ndarray, src: np.ndarray, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds in a row as one where neighbours are first in different places: its hash, first and last row.
+
+    Rows are plain seeds that recur, in order, those of first occurrences too; ``src`` numbers the source of each and
+    ``at`` is its place there. Pairs over each such seam are taken, and all seeds of about as many words as any
+    passage of MIN_WORDS holds whatever is around it.
     """
     span = max(1, MIN_WORDS - K + 1 - 3 * (WINDOW - 1))
-    n = t.num_rows
-    doc, src = (t.column(c).combine_chunks() for c in ("doc", "src"))
-    pos, at = (t.column(c).to_numpy().astype(np.int64) for c in ("pos", "src_pos"))
-    seed = t.column("seed").to_numpy().view(np.uint64)
+    n = len(pos)
     near, seam = np.zeros(n, bool), np.zeros(n, bool)  # of each row and the next one
-    if n > 1:
-        other = lambda c: np.asarray(pa.compute.not_equal(c.slice(1), c.slice(0, n - 1)))
-        near[:-1] = ~other(doc) & (np.diff(pos) <= WINDOW)
-        seam[:-1] = near[:-1] & (other(src) | (np.diff(at - pos) != 0))
+    if n < 2:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    step = np.diff(pos)
+    near[:-1] = (group[1:] == group[:-1]) & (step <= WINDOW)
+    seam[:-1] = near[:-1] & ((src[1:] != src[:-1]) | (np.diff(at - pos) != 0))
     row = np.arange(n)
     stop = np.append(np.flatnonzero(~near), n)
-    last = stop[np.searchsorted(stop, row)] if n else row  # where the run of near rows ends
-    line = pos + np.cumsum(np.append(0, (~near[:-1]).astype(np.int64))) * (1 << 32) if n else pos
+    last = stop[np.searchsorted(stop, row)]  # where the run of near rows ends
+    line = pos + np.cumsum(np.append(0, (~near[:-1]).astype(np.int64))) * (1 << 32)
     end = np.searchsorted(line, line + span) - 1
     many = np.append(0, np.cumsum(seam))
-    wide = (end - row > 1) & (pos[end] - pos >= span - WINDOW) & (many[end] > many[row]) & (end <= last) if n else seam
+    wide = (end - row > 1) & (pos[end] - pos >= span - WINDOW) & (many[end] > many[row]) & (end <= last)
     begin = np.concatenate([row[seam], row[wide]])
-    count = np.concatenate([np.full(int(seam.sum()), 2), (end - row)[wide] + 1])
-    unit = mix(count.astype(np.uint64))
-    for k in range(int(count.max(initial=0))):
-        own = count > k
-        unit[own] = mix(unit[own] * np.uint64(0x9E3779B97F4A7C15) + seed[begin[own] + k])
-    total = np.append(0, np.cumsum(count))
-    inner = np.arange(total[-1]) - np.repeat(total[:-1] - begin, count)
-    lists = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(pos[inner].astype(np.int32)))
-    return pa.array(unit.view(np.int64)), begin, doc.take(pa.array(begin)), lists
-
-
-def exact(xs: list[list[int]], ys: list[list[int]], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts, ascending, and the furthest end so far of stretches of MIN_WORDS and more whose words are all in common seeds.
-
-    Places are in x of each chain, added to 2**32 times its number.
-    """
-    size = np.array([len(c) for c in xs], np.int64)
-    x, y = (np.array([i for c in v for i in c], np.int64) for v in (xs, ys))
-    new = np.ones(len(x), bool)
-    new[1:] = (np.diff(x) > K) | (np.diff(x) != np.diff(y))
-    new[np.cumsum(size)[:-1]] = True
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(x))[: len(begin)] - 1
-    long = x[end] + K - x[begin] >= MIN_WORDS
-    shift = (np.repeat(number.astype(np.int64), size) << 32)[begin[long]]
-    low, high = shift + x[begin[long]], shift + x[end[long]] + K
-    order = np.argsort(low, kind="stable")
-    return low[order], np.maximum.accumulate(high[order])
+    end = np.concatenate([row[seam] + 1, end[wide]])
+    # The sum of each seed and its distance from the one before, times a power of its number in the row.
+    value = mix(seed ^ np.append(0, step).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    total = np.append(np.uint64(0), np.cumsum(value * powers(n), dtype=np.uint64))
+    inverse = np.full(n + 1, BACK, np.uint64)
+    inverse[0] = 1
+    inner = (total[end + 1] - total[begin + 1]) * np.cumprod(inverse, dtype=np.uint64)[begin]
+    return mix(mix(inner ^ (end - begin).astype(np.uint64)) ^ seed[begin]), begin, end
 
 
 def chained(placed: DataFrame, with_seams: bool) -> DataFrame:
-    """``(doc, src, x, y, seed, known)``: places of each chain of ``placed(doc, src, pos, src_pos, seed)`` in both documents.
+    """``(doc, key, src, src_key, x, y, n, seed, pos, reach, known)`` of ``first_places``.
 
-    With seams, these follow with their seed and their places in x; known are those within a stretch of a chain that
-    is surely a repeat.
+    Chains have the starts and lengths of their runs of equal words in both documents. With seams, these follow with
+    their hash, place and the distance of their last seed; known are those within a run that is surely a repeat.
     """
-    kind = placed.schema["doc"].dataType.simpleString()
-
-    def changes(*columns: pa.Array) -> np.ndarray:
-        change = np.zeros(len(columns[0]), bool)
-        change[:1] = True
-        for c in columns:
-            if len(c) > 1:
-                change[1:] |= np.asarray(pa.compute.not_equal(c.slice(1), c.slice(0, len(c) - 1)))
-        return change
-
-    def solve(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = whole.filter(pa.compute.not_equal(whole.column("doc"), whole.column("src"))).combine_chunks()
-        doc, src = t.column(0).combine_chunks(), t.column(1).combine_chunks()
-        x, y = t.column(2).to_numpy(), t.column(3).to_numpy()
-        edge = np.flatnonzero(changes(doc, src))
-        end = np.append(edge[1:], len(x))
-        rows, xs, ys = [], [], []
-        for a, b in zip(edge[end - edge > 1].tolist(), end[end - edge > 1].tolist()):
-            gx, gy = x[a:b].tolist(), y[a:b].tolist()
-            for c in chains(gx, gy):
-                rows.append(a)
-                xs.append([gx[i] for i in c])
-                ys.append([gy[i] for i in c])
-        at, places = pa.array(rows, pa.int64()), pa.list_(pa.int32())
-        names = ["doc", "src", "x", "y", "seed", "known"]
-        yield pa.RecordBatch.from_arrays([doc.take(at), src.take(at), pa.array(xs, places), pa.array(ys, places), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.bool_())], names=names)
+    ours, theirs = ids(placed), ids(placed, "src")
+    names = [*ours, *theirs, "x", "y", "n", "seed", "pos", "reach", "known"]
+
+    def lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        column = {c: t.column(c).combine_chunks() for c in t.column_names}
+        group = np.cumsum(changes(*(column[c] for c in ours)))
+        source = np.zeros(len(group), np.int64)
+        for c in theirs:
+            codes = column[c].dictionary_encode()
+            source = source * max(1, len(codes.dictionary)) + codes.indices.to_numpy()
+        px, py = (column[c].to_numpy().astype(np.int64) for c in ("pos", "src_pos"))
+        row = np.lexsort((py, px, source, group))
+        own = np.ones(len(row), bool)
+        for a, b in zip(ours, theirs):
+            own &= np.asarray(pc.equal(column[a], column[b]))
+        new = lambda *v: np.append(True, np.any([np.diff(i[row]) != 0 for i in v], axis=0)) if len(row) else np.zeros(0, bool)
+        row = row[~own[row] & new(group, source, px, py)]
+        gx, gy = px[row], py[row]
+        edge = np.flatnonzero(new(group, source))
+        size = np.diff(np.append(edge, len(row)))
+        dx, dy = np.diff(gx), np.diff(gy)
+        bad = np.append(~((dx > 0) & (dy > 0) & (dx + dy < SURE)), False)[: len(row)]
+        bad[edge[1:] - 1] = False
+        wrong = np.add.reduceat(bad.astype(np.int64), edge) if len(edge) else size
+        # Where each match goes on from the one before by a step that surely pays, all are one chain.
+        plain = (size > 1) & (wrong == 0)
+        parts = [np.flatnonzero(np.repeat(plain, size))]
+        count = [size[plain]]
+        for a, n in zip(edge[(size > 1) & ~plain].tolist(), size[(size > 1) & ~plain].tolist()):
+            found = chains(gx[a : a + n].tolist(), gy[a : a + n].tolist())
+            parts.extend(a + np.array(c) for c in found)
+            count.append(np.array([len(c) for c in found], np.int64))
+        at, count = np.concatenate(parts).astype(np.int64), np.concatenate(count)
+        begins = np.cumsum(count) - count
+        cx, cy = gx[at], gy[at]
+        starts = np.append(True, (np.diff(cx) > K) | (np.diff(cx) != np.diff(cy)))[: len(cx)]
+        starts[begins] = True
+        first = np.flatnonzero(starts)
+        final = np.append(first[1:], len(cx))[: len(first)] - 1
+        runs = np.add.reduceat(starts.astype(np.int64), begins) if len(begins) else begins
+        length = cx[final] + K - cx[first]
+        who = pa.array(row[at[begins]])
+        none = [pa.nulls(len(begins), kind) for kind in (pa.int64(), pa.int32(), pa.int32(), pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*(column[c].take(who) for c in (*ours, *theirs)), lists(cx[first], runs), lists(cy[first], runs), lists(length, runs), *none], names=names)
         if with_seams:
-            number = np.cumsum(changes(whole.column("doc").combine_chunks()))
-            other = np.asarray(pa.compute.not_equal(whole.column("doc"), whole.column("src")))
-            low, high = exact(xs, ys, number[other][rows])
-            plain = whole.column("seed").to_numpy() & 1 == 0
-            t, number = whole.filter(pa.array(plain)), number[plain]
-            order = np.lexsort((t.column("pos").to_numpy(), number))
-            seed, begin, own, pos = seams(t.take(pa.array(order)).combine_chunks())
-            x, base = pos.values.to_numpy(), pos.offsets.to_numpy()
-            shift = number[order][begin] << 32
-            at = np.searchsorted(low, shift + x[base[:-1]], "right")
-            known = np.append(-1, high)[at] >= shift + x[base[1:] - 1] + K
-            yield pa.RecordBatch.from_arrays([own, pa.nulls(len(own), own.type), pos, pa.nulls(len(own), places), seed, pa.array(known)], names=names)
+            long = length >= MIN_WORDS
+            low = (group[row[at[first[long]]]] << 32) + cx[first[long]]
+            order = np.argsort(low, kind="stable")
+            low, high = low[order], np.append(-1, np.maximum.accumulate((low + length[long])[order]))
+            seed = column["seed"].to_numpy().view(np.uint64)
+            order = np.lexsort((px, group))
+            order = order[seed[order] & np.uint64(1) == 0]
+            unit, begin, end = seams(group[order], px[order], source[order], py[order], seed[order])
+            start, stop = px[order][begin], px[order][end]
+            shift = group[order][begin] << 32
+            known = high[np.searchsorted(low, shift + start, "right")] >= shift + stop + K
+            who = pa.array(order[begin])
+            empty = [pa.nulls(len(begin), column[c].type) for c in theirs] + [pa.nulls(len(begin), pa.list_(pa.int32()))] * 3
+            yield pa.RecordBatch.from_arrays([*(column[c].take(who) for c in ours), *empty, pa.array(unit.view(np.int64)), pa.array(start.astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(known)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # of which all but the last have one document only
         for b in batches:
-            new = pa.Table.from_batches([b])
-            held = new if held is None else pa.concat_tables([held, new])
-            if held.num_rows and len(edge := np.flatnonzero(changes(held.column("doc").combine_chunks()))) > 1:
-                yield from solve(held.slice(0, int(edge[-1])))
-                held = held.slice(int(edge[-1]))
-        if held is not None and held.num_rows:
-            yield from solve(held)
-
-    dealt = placed.select("doc", "src", "pos", "src_pos", "seed").repartition("doc").sortWithinPartitions("doc", "src", "pos", "src_pos")
-    return dealt.mapInArrow(run, f"doc {kind}, src {kind}, x array<int>, y array<int>, seed bigint, known boolean")
+            if not b.num_rows:
+                continue
+            ends = pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), b]) if held else b
+            edge = np.flatnonzero(changes(*(ends.column(c) for c in ours))) - bool(held)
+            edge = edge[edge >= (0 if held else 1)]
+            if len(edge):
+                last = int(edge[-1])
+                yield from solve(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held, b = [], b.slice(last)
+            held.append(b)
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    columns = [*ours, *theirs, "pos", "src_pos", "seed"]
+    dealt = placed.select(*columns).repartition(*ours).sortWithinPartitions(*ours)
+    return dealt.mapInArrow(run, schema("", placed, [*ours, *theirs]) + ", x array<int>, y array<int>, n array<int>, seed bigint, pos int, reach int, known boolean")
 
 
 def distance(a: list[bytes], b: list[bytes]) -> int:
@@ -285,28 +388,28 @@ def extend(a: list[bytes], b: list[bytes], i: int, j: int, step: int) -> tuple[i
     return length, wrong
 
 
-def align(a: list[bytes], b: list[bytes], x: list[int], y: list[int]) -> list[tuple[int, int, int, int, float]]:
-    """The parts of a chain's alignment that are repeats: start and end in a and in b, similarity."""
+def align(a: list[bytes], b: list[bytes], x: list[int], y: list[int], sizes: list[int]) -> list[tuple[int, int, int, int, float]]:
+    """The parts of a chain's alignment that are repeats: start and end in a and in b, similarity. No word of a run is looked at."""
     pieces: list[tuple[int, int, int, int, int]] = []  # start and end in a and b, edits
     n, wrong = extend(a, b, x[0] - 1, y[0] - 1, -1)
+    end_a, end_b = x[-1] + sizes[-1], y[-1] + sizes[-1]
+    more, wrong_more = extend(a, b, end_a, end_b, 1)
+    if min(end_a - x[0], end_b - y[0]) + n + more < MIN_WORDS:
+        return []
     pieces.append((x[0] - n, x[0], y[0] - n, y[0], wrong))
     i, j = x[0], y[0]
-    for p, q in zip(x, y):
-        if p < i or q < j:  # overlaps the seed before
+    for p, q, size in zip(x, y, sizes):
+        if p < i or q < j:  # overlaps the run before
             shift = max(i - p, j - q)
-            if shift >= K:
+            if shift >= size:
                 continue
-            p, q = p + shift, q + shift
+            p, q, size = p + shift, q + shift, size - shift
             pieces.append((i, p, j, q, max(p - i, q - j)))
-            end = shift
-        else:
-            if p > i or q > j:
-                pieces.extend(gap(a, b, i, p, j, q))
-            end = 0
-        i, j = p + K - end, q + K - end
+        elif p > i or q > j:
+            pieces.extend(gap(a, b, i, p, j, q))
+        i, j = p + size, q + size
         pieces.append((p, i, q, j, 0))
-    n, wrong = extend(a, b, i, j, 1)
-    pieces.append((i, i + n, j, j + n, wrong))
+    pieces.append((i, i + more, j, j + more, wrong_more))
     # The stretch that gains most where an edit costs what SIMILARITY allows for it, then those on both sides of it.
     out, todo = [], [(0, len(pieces))]
     while todo:
@@ -366,79 +469,137 @@ def gap(a: list[bytes], b: list[bytes], i: int, p: int, j: int, q: int) -> list[
     return [(i, i + n, j, j + n, wrong), (i + n, p - m, j + n, q - m, inner), (p - m, p, q - m, q, other)]
 
 
-def spans(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted(chain, id, role, low, high)`` with the words low to high of its document."""
-    kind = wanted.schema["chain"].dataType.simpleString()
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows(doc, text, ...)``, with ``key`` if an id has more than one row: a hash of the text for rows of such ids, else 0."""
+    again = written(rows.where("doc is not null").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("again")), "ids")
+    if again.isEmpty():
+        return rows
+    joined = rows.join(again, F.col("doc") == F.col("again"), "left")
+    return joined.withColumn("key", F.when(F.col("again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint"))).drop("again")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
-        for whole in batches:
-            for b in slices(whole, 5):
-                found = []
-                for i, low, high, text in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5)):
-                    if i != last:
-                        last, held = i, text.as_py().encode().lower().split()
-                    found.append(b" ".join(held[low:high]).decode())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(found, pa.string())], names=["chain", "role", "low", "span"])
 
-    joined = wanted.join(texts, "id").select("chain", "id", "role", "low", "high", "text")
-    return joined.mapInArrow(run, f"chain {kind}, role int, low int, span string")
+def words(text: str) -> list[bytes]:
+    return text.encode().lower().split()
 
 
-def first_places(found: DataFrame, *more: str) -> DataFrame:
-    """``(doc, src, pos, src_pos, seed)`` of ``(seed, doc, pos)`` for seeds that recur: where each one is and is first."""
-    first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("seed", F.col("first.doc").alias("src"), F.col("first.pos").alias("src_pos"))
-    return found.join(first, "seed").select("doc", "src", "pos", "src_pos", "seed", *more)
+def outside(x: list[int], n: list[int], end: int) -> list[tuple[int, int]]:
+    """The stretches of a chain that no run covers, and MARGIN words at both ends; ``end`` is the number of words."""
+    out, at = [(max(0, x[0] - MARGIN), x[0])], x[0] + n[0]
+    for p, size in zip(x[1:], n[1:]):
+        if p > at:
+            out.append((at, p))
+        at = p + size
+    return [*out, (at, min(end, at + MARGIN))]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, src_doc_id, start_word, end_word, src_start_word, src_end_word, n_words, similarity)``.
+def compared(own: list[bytes], held: list[bytes], x: list[int], y: list[int], n: list[int]) -> list[tuple]:
+    """The repeats of a chain: ``own`` has the words of ``outside`` of one document, ``held`` all words of the other."""
+    low_a, low_b, end = max(0, x[0] - MARGIN), max(0, y[0] - MARGIN), x[-1] + n[-1]
+    inner = outside(x, n, end)[:-1]
+    tail = len(own) - sum(q - p for p, q in inner)
+    a, done = [None] * (end + tail - low_a), 0
+    for p, q in [*inner, (end, end + tail)]:
+        a[p - low_a : q - low_a] = own[done : done + q - p]
+        done += q - p
+    b = held[low_b : y[-1] + n[-1] + MARGIN]
+    found = align(a, b, [p - low_a for p in x], [p - low_b for p in y], n)
+    return [(r[0] + low_a, r[1] + low_a, r[2] + low_b, r[3] + low_b, r[1] - r[0], r[4]) for r in found]
 
-    A row says that words start to end of a document repeat words of a document whose id is less.
-    Words are runs without ASCII white space, A-Z lower-cased. Null ids and null texts are passed
-    over, as are texts of under 50 words; rows that repeat id and text count once, and of rows
-    with one id but other texts the one with the least text is searched. A table without repeats
-    gives no row. Other columns aren't read.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    again = cut(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
-    if not again.isEmpty():
-        rows = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    found = seeds(rows)
-    once = cut(chained(first_places(found), True))
-    units = once.where("seed is not null").select("seed", "doc", F.col("x").alias("pos"), "known")
-    # What is a repeat already needs no other source, but may be one.
-    matches = first_places(units, "known").where("doc <> src and not known").select("doc", "src", F.explode(F.arrays_zip("pos", "src_pos")).alias("m")).select("doc", "src", "m.pos", "m.src_pos").distinct()
-    again = chained(matches.withColumn("seed", F.lit(0).cast("bigint")), False)
-    linked = cut(once.where("seed is null").unionAll(again).select("doc", "src", "x", "y").withColumn("chain", F.monotonically_increasing_id()))
 
-    def side(role: int, who: str, at: str):
-        return F.struct(F.col(who).alias("id"), F.lit(role).alias("role"), F.greatest(F.lit(0), F.array_min(at) - MARGIN).alias("low"), (F.array_max(at) + K + MARGIN).alias("high"))
+#: Chains with one source that go on in one row: so many words between runs at most.
+TOGETHER = 1 << 16
 
-    wanted = linked.select("chain", F.explode(F.array(side(0, "doc", "x"), side(1, "src", "y"))).alias("s")).select("chain", "s.*")
-    got = cut(spans(rows, wanted))
-    a = got.where("role = 0").select("chain", F.col("low").alias("low_a"), F.col("span").alias("a"))
-    b = got.where("role = 1").select("chain", F.col("low").alias("low_b"), F.col("span").alias("b"))
-    kind = linked.schema["doc"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def aligned(linked: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:
+    """The repeats of chains: first the words between runs are taken from the later document, then they meet the earlier one.
+
+    A document's chains are one row; those with one source are grouped within a batch before they are shuffled.
+    """
+    ours, theirs = ids(linked), ids(linked, "src")
+    kind = schema("", linked, ours)
+    inner = pa.struct([(c, t) for c, t in zip(ours, (f.type for f in linked.select(*ours).limit(0).toArrow().schema))] + [(c, pa.list_(pa.int32())) for c in "xyn"] + [("a", pa.string())])
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, b_text):
+                groups: dict[tuple, tuple[list[dict], list[int]]] = {}
+                done: list[tuple[tuple, list[dict]]] = []
+                for row in b.to_pylist():
+                    held = words(row["text"])
+                    for c in row["c"]:
+                        parts = [w for p, q in outside(c["x"], c["n"], len(held)) for w in held[p:q]]
+                        src = tuple(c[k] for k in theirs)
+                        own, size = groups.setdefault(src, ([], [0]))
+                        own.append({k: row[k] for k in ours} | {k: c[k] for k in "xyn"} | {"a": b" ".join(parts).decode()})
+                        size[0] += len(parts)
+                        if size[0] > TOGETHER:
+                            done.append((src, groups.pop(src)[0]))
+                done += [(src, own) for src, (own, _) in groups.items()]
+                columns = [pa.array([src[k] for src, _ in done], inner.field(ours[k]).type) for k in range(len(ours))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([own for _, own in done], pa.list_(inner))], names=[*theirs, "c"])
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
         for whole in batches:
-            rows_, out = [], []
-            for n, (x, y, low_a, low_b, a, b) in enumerate(zip(*(c.to_pylist() for c in whole.columns[2:]))):
-                for r in align(a.encode().split(), b.encode().split(), [i - low_a for i in x], [i - low_b for i in y]):
-                    rows_.append(n)
-                    out.append((r[0] + low_a, r[1] + low_a, r[2] + low_b, r[3] + low_b, r[1] - r[0], r[4]))
-            at = pa.array(rows_, pa.int64())
-            columns = [pa.array([o[k] for o in out], pa.int32() if k < 5 else pa.float64()) for k in range(6)]
-            yield pa.RecordBatch.from_arrays([whole.column(0).take(at), whole.column(1).take(at), *columns], names=names)
-
-    names = [id_col, f"src_{id_col}", "start_word", "end_word", "src_start_word", "src_end_word", "n_words", "similarity"]
-    paired = linked.join(a, "chain").join(b, "chain").select("doc", "src", "x", "y", "low_a", "low_b", "a", "b")
-    aligned = paired.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, [kind, kind, *["int"] * 5, "double"])))
+            for b in slices(whole, b_text):
+                out = []
+                for row in b.to_pylist():
+                    src = tuple(row[k] for k in theirs)
+                    if src != last:
+                        last, held = src, words(row["text"])
+                    for c in row["c"]:
+                        of = tuple(c[k] for k in ours)
+                        out += [(of[0], src[0], *r, *of[1:], *src[1:]) for r in compared(c["a"].encode().split(), held, c["x"], c["y"], c["n"])]
+                kinds = [inner.field("doc").type] * 2 + [pa.int32()] * 5 + [pa.float64()] + [pa.int64()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in zip(range(len(names)), kinds)], names=names)
+
+    b_text = len(ours) + 1
+    chain = "x: array<int>, y: array<int>, n: array<int>"
+    both = linked.groupBy(*ours).agg(F.collect_list(F.struct(*theirs, "x", "y", "n")).alias("c")).join(texts, ours).select(*ours, "c", "text")
+    struct = ", ".join([f"{c}: {t}" for c, t in (x.split(" ", 1) for x in kind.split(", "))] + [chain, "a: string"])
+    sent = both.mapInArrow(left, schema("", linked, theirs) + f", c array<struct<{struct}>>")
+    renamed = texts.select(*(F.col(a).alias(b) for a, b in zip(ours, theirs)), "text")
+    met = sent.join(renamed, theirs).select(*theirs, "c", "text")
+    kinds = [linked.schema["doc"].dataType.simpleString()] * 2 + ["int"] * 5 + ["double"] + ["bigint"] * 2
+    return met.mapInArrow(right, ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds)))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, src_doc_id, start_word, end_word, src_start_word, src_end_word, n_words, similarity, doc_id_key, src_doc_id_key)``.
+
+    A row says that words start to end of a document repeat words of an earlier document: one whose id is less, or
+    of one id the one whose key is less. Words are runs without ASCII white space, A-Z lower-cased. Null ids and
+    null texts are passed over, as are texts of under 50 words; rows that repeat id and text count once. Rows of
+    one id with other texts are documents of their own, told apart by their key (a hash of the text; 0 where a row
+    is alone with its id). Passages that recur within one document only aren't looked for. A table without repeats
+    gives no row. Other columns aren't read.
+    """
+    texts = keyed(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null"))
+    own = ids(texts)
+    texts = texts.select(*own, "text")
+    if len(own) > 1:
+        several = texts.where("key <> 0").groupBy(*own).agg(F.any_value("text").alias("text"))
+        texts = written(texts.where("key = 0").unionByName(several), "texts")
+    looked = lambda df: df.where(F.pmod(F.xxhash64(*own), F.lit(LOOKED_AT)) == 0)
+    hot = frequent(seeds(looked(texts)))
+    found = seeds(texts)
+    once = written(chained(first_places(found, seeds(texts, hot) if hot else found.limit(0)), True), "chains")
+    units = once.where("seed is not null").select("seed", "pos", *own, "reach", "known")
+    hot = frequent(looked(units))
+    # What is a repeat already needs no other source, but may be one.
+    src = ids(once, "src")
+    other = " or ".join(f"{a} <> {b}" for a, b in zip(own, src))
+    matches = first_places(units, units.where(F.col("seed").isin(hot))).where(f"not known and ({other})")
+    ends = F.explode(F.array(F.lit(0), F.col("reach"))).alias("step")
+    matches = matches.select(*own, *src, "pos", "src_pos", ends).select(*own, *src, (F.col("pos") + F.col("step")).alias("pos"), (F.col("src_pos") + F.col("step")).alias("src_pos"), F.lit(0).cast("bigint").alias("seed"))
+    linked = once.where("seed is null").unionAll(chained(matches, False)).select(*own, *src, "x", "y", "n")
+    names = [id_col, f"src_{id_col}", "start_word", "end_word", "src_start_word", "src_end_word", "n_words", "similarity", f"{id_col}_key", f"src_{id_col}_key"]
+    found = aligned(linked, texts, names if len(own) > 1 else names[:8])
+    if len(own) == 1:
+        found = found.withColumns({c: F.lit(0).cast("bigint") for c in names[8:]})
     # Two chains of one pair may give one stretch, or a part of it that the margin ended.
-    before = Window.partitionBy(*names[:2], F.col("src_end_word") - F.col("end_word")).orderBy("start_word", F.desc("end_word")).rowsBetween(Window.unboundedPreceding, -1)
-    return aligned.withColumn("reached", F.max("end_word").over(before)).where("reached is null or reached < end_word").drop("reached")
+    before = Window.partitionBy(*names[:2], *names[8:], F.col("src_end_word") - F.col("end_word")).orderBy("start_word", F.desc("end_word")).rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("reached", F.max("end_word").over(before)).where("reached is null or reached < end_word").drop("reached")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -446,8 +607,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The first document of a passage keeps it. n_chars is counted anew where a text was cut.
     """
-    found = repeats(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"), F.max("end_word").alias("most"))
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")).join(cut(found), "doc_id", "left")
+    found = repeats(docs).groupBy("doc_id", "doc_id_key").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    rows = keyed(docs.select(F.col("doc_id").alias("doc"), F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")))
+    same = (F.col("doc") == F.col("doc_id")) & (F.col("key") == F.col("doc_id_key")) if "key" in rows.columns else F.col("doc") == F.col("doc_id")
+    held = rows.join(written(found, "spans"), same, "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -459,7 +622,6 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         texts[i] = without(texts[i], [(m["start_word"], m["end_word"]) for m in marks])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([bool(m) for m in own])], names=["row", "text", "was_cut"])
 
-    held = rows.select("row", "text", "spans")
     out = held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, text string, was_cut boolean").where(~(F.col("was_cut") & (F.length(F.trim("text")) == 0)))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("was_cut"), F.length("text")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
     return out.select(*((new[c] if c in new else F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

@@ -169,3 +169,30 @@ def test_edited_passages_are_found(spark):
         docs += [(len(docs) + k, " ".join(text(40) + p + text(40))) for k, p in enumerate((part, copy))]
     rows = P.repeats(spark.createDataFrame(docs, "doc_id int, text string")).collect()
     assert len({r.doc_id for r in rows}) >= 76 and all(r.n_words >= 50 and r.similarity >= 0.8 for r in rows)
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    part, other = text(60), text(122)
+    docs = [(1, " ".join(text(30) + part)), (2, " ".join(text(20) + part + text(20))), (2, " ".join(other)), (2, " ".join(other)), (3, " ".join(part + text(5))), (None, " ".join(part))]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    rows = P.repeats(df).collect()
+    assert sorted((r.doc_id, r.src_doc_id, r.start_word, r.end_word) for r in rows) == [(2, 1, 20, 80), (3, 1, 0, 60)]
+    kept = sorted((r.doc_id or 0, r.text) for r in P.cut_repeats(spark, df, "").collect())
+    assert sorted(t.split() for i, t in kept if i == 2) == sorted([other] * 2 + [docs[1][1].split()[:20] + docs[1][1].split()[80:]])
+    assert (1, docs[0][1]) in kept and (0, docs[5][1]) in kept
+
+
+def test_a_line_that_most_documents_have(spark, monkeypatch):
+    rng = random.Random(37)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    line, part = text(20), text(60)
+    docs = [(i, " ".join(text(30) + line + text(10) + (part if i in (40, 900) else []) + text(9))) for i in range(1200)]
+    df = spark.createDataFrame(docs, "doc_id int, text string").repartition(7)
+    rows = [sorted((r.doc_id, r.src_doc_id, r.start_word, r.end_word) for r in P.repeats(df).collect())]
+    monkeypatch.setattr(P, "HOT", 1)  # no seed is very frequent
+    rows.append(sorted((r.doc_id, r.src_doc_id, r.start_word, r.end_word) for r in P.repeats(df).collect()))
+    assert rows[0] == rows[1] == [(900, 40, 60, 120)]
