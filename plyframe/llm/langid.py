@@ -7,8 +7,9 @@ of cross-entropy: phrases * log2(labelled characters) / characters.
 
 Texts are lower-cased; characters that aren't letters become one boundary. All languages' automata
 form one dense table of transitions. A missing transition holds the state after a new phrase has
-begun, so a step is one look-up and texts are stepped together, in blocks of fixed length in which
-a phrase begins anew; whole texts are parsed.
+begun, so a step is one look-up. Texts are stepped together in blocks, as if a phrase began with each; then
+each block is stepped from where the one before really ended, until both parses are in one state, and
+what differs is put right. So the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyframe.llm.common import slices, table
 
-#: The labelled sample: rows looked at for each language, and characters kept in whole texts.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_CHARS_IN_ALL = 96, 32768, 262144
+#: The labelled sample: rows looked at for each language, characters kept in whole texts, and languages (the most frequent).
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_CHARS_IN_ALL, LANGUAGES = 96, 32768, 262144, 1024
 #: Letters told apart; the others count as one.
 ALPHABET = 62
+#: Characters stepped one after the other before others are put beside them; it changes no result.
 BLOCK = 1024
 
 
@@ -87,21 +89,29 @@ class Model:
         for i in range(1 << 16):
             if (c := chr(i)).isalpha():
                 self.codes[i] = self.code.get(c, 1)
-        parts, self.start, rows = [], [], 0
+        self.start, rows = [], 0
+        # An automaton has under two states a character; rows that aren't used are never touched.
+        whole = np.empty((sum(2 * len(t) + 2 for t in self.texts.values()), width), np.int32)
         for t in self.texts.values():
             steps = automaton("".join(c if c in self.code else "\x01" for c in t))
-            part = np.full((len(steps), width), -1, np.int32)
+            part = whole[rows : rows + len(steps)]
+            part.fill(-1)
             for s, to in enumerate(steps):
                 for c, n in to.items():
                     part[s, self.code.get(c, 1)] = n
             first = np.where(part[0] < 0, 0, part[0])
-            began = part < 0
-            began[0] = True
-            part = np.where(part < 0, first[None, :], part)
-            parts.append((((part + rows) * width) << 1 | began).astype(np.int32))
+            for low in range(0, len(part), 4096):
+                some = part[low : low + 4096]
+                began = some < 0
+                if not low:
+                    began[0] = True
+                np.copyto(some, first[None, :], where=some < 0)
+                some += rows
+                some *= 2 * width
+                some |= began
             self.start.append(rows * width)
             rows += len(steps)
-        self.table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
+        self.table = whole[:rows].reshape(-1)
         self.cost = np.array([log2(max(2, len(t))) for t in self.texts.values()])
 
     def encoded(self, text: str | None) -> np.ndarray:
@@ -127,25 +137,60 @@ class Model:
         own = [self.encoded(t) for t in texts]
         length = np.array([len(x) for x in own], np.int64)
         flat = np.concatenate(own) if own else np.zeros(0, np.int32)
+        del own
         blocks = -(-length // BLOCK)
-        doc = np.repeat(np.arange(len(own)), blocks)
+        doc = np.repeat(np.arange(len(length)), blocks)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = np.repeat(np.cumsum(length) - length, blocks) + nth * BLOCK
         size = np.minimum(BLOCK, length[doc] - nth * BLOCK)
-        order = np.argsort(-size, kind="stable")
-        begin, size, doc = begin[order], size[order], doc[order]
-        state = np.repeat(np.array(self.start, np.int32)[:, None], len(doc), axis=1)
-        count = np.zeros(state.shape, np.int32)
-        alive = np.searchsorted(-size, -np.arange(BLOCK), side="left") if len(size) else []
-        for t in range(int(size[0]) if len(size) else 0):
-            n = int(alive[t])
-            got = self.table.take(state[:, :n] + flat[begin[:n] + t])
-            count[:, :n] += got & 1
-            state[:, :n] = got >> 1
-        total = np.zeros((len(own), len(self.langs)), np.int64)
-        np.add.at(total, doc, count.T)
+        n, langs = len(doc), len(self.langs)
+        fresh = np.repeat(np.array(self.start, np.int32), n)
+        begin, size, nth = np.tile(begin, langs), np.tile(size, langs), np.tile(nth, langs)
+        count, plain = self.stepped(flat, begin, size, fresh)
+        left = plain.copy()
+        # Of each language and block: the state that it was entered with, and what that changes.
+        entered, more = fresh.copy(), np.zeros(len(fresh), np.int64)
+        todo = np.flatnonzero(nth > 0)
+        while len(todo):
+            todo = todo[left[todo - 1] != entered[todo]]
+            entered[todo] = left[todo - 1]
+            more[todo], now = self.put_right(flat, begin[todo], size[todo], fresh[todo], entered[todo], plain[todo])
+            changed = todo[now != left[todo]]
+            left[todo] = now
+            todo = changed[changed + 1 < len(nth)] + 1
+            todo = todo[nth[todo] > 0]
+        total = np.zeros((len(length), langs), np.int64)
+        np.add.at(total, doc, (count + more).reshape(langs, n).T)
         return total, length
 
+    def stepped(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each block, and the state that it is left with."""
+        order = np.argsort(-size, kind="stable")
+        at, wide, now = begin[order], size[order], state[order]
+        found = np.zeros(len(at), np.int64)
+        alive = np.searchsorted(-wide, -np.arange(int(wide[0]) if len(wide) else 0), side="left")
+        for t, n in enumerate(alive.tolist()):
+            got = self.table.take(now[:n] + flat[at[:n] + t])
+            found[:n] += got & 1
+            now[:n] = got >> 1
+        count, left = np.empty_like(found), np.empty_like(now)
+        count[order], left[order] = found, now
+        return count, left
+
+    def put_right(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By how many phrases blocks entered with states ``b`` differ from ``a``, and the states they are left with (``plain`` for ``a``)."""
+        more, end = np.zeros(len(begin), np.int64), plain.copy()
+        live, t = np.arange(len(begin)), 0
+        while len(live):
+            x, y = (self.table.take(v + flat[begin[live] + t]) for v in (a, b))
+            more[live] += (y & 1) - (x & 1)
+            a, b, t = x >> 1, y >> 1, t + 1
+            done = size[live] == t
+            end[live[done]] = b[done]
+            on = ~done & (a != b)
+            live, a, b = live[on], a[on], b[on]
+        return more, end
+
 
 def chosen(key: Column) -> Column:
     """Whether a row may be learnt from, by its key."""
@@ -155,41 +200,46 @@ def chosen(key: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the non-null labels of ``docs``, from a bounded sample.
 
-    Rows are taken by a hash of id and text, SAMPLE_ROWS for each language, and kept as whole texts
-    up to SAMPLE_CHARS characters (fewer where there are many languages: SAMPLE_CHARS_IN_ALL for
-    all together). Where no text of a language fits, its shortest one is cut.
+    Of the texts that have a letter and fit, about SAMPLE_ROWS for each language are taken by a hash of the id and kept
+    whole up to SAMPLE_CHARS characters (fewer where there are many languages: SAMPLE_CHARS_IN_ALL for all together).
+    Of a language without a text that fits, the shortest one is cut. Languages beyond the LANGUAGES most frequent ones
+    aren't learnt. Rows with null id, label or text are passed over.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.where("id is not null and lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("text") <= SAMPLE_CHARS).alias("fit"))
+    sizes = {r.lang: r for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return Model({})
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE_ROWS / n))))
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    found = rows.withColumn("place", place).where(F.col("place") < share[F.col("lang")]).where("text is not null").select("lang", "place", "text").orderBy("place", "text").limit(4 * SAMPLE_ROWS * len(sizes)).collect()
     room = min(SAMPLE_CHARS, SAMPLE_CHARS_IN_ALL // len(sizes))
+    share = F.create_map(*(F.lit(x) for lang, r in sizes.items() for x in (lang, min(1.0, SAMPLE_ROWS / max(1, r.fit)))))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    some = rows.withColumn("place", place).where(F.col("place") < share[F.col("lang")]).where(F.length("text") <= SAMPLE_CHARS)
+    before = Window.partitionBy("lang").orderBy("place", "text").rowsBetween(Window.unboundedPreceding, -1)
+    found = some.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") < 2 * room).select("lang", "text").collect()
     texts: dict[str, list[str]] = {}
-    spare: dict[str, str] = {}
     for r in found:
         t, own = normal(r.text), texts.setdefault(r.lang, [])
-        if t and t not in own:
-            if sum(map(len, own)) + len(t) <= room:
-                own.append(t)
-            elif len(t) < len(spare.get(r.lang, t + " ")):
-                spare[r.lang] = t
-    return Model({k: "\n".join(v) or spare[k][:room] for k, v in texts.items() if v or k in spare})
+        if t and t not in own and sum(map(len, own)) + len(t) <= room:
+            own.append(t)
+    if lacking := [lang for lang in sizes if not texts.get(lang)]:
+        least = F.min_by(F.substring("text", 1, 2 * room), F.struct(F.length("text"), F.xxhash64("text")))
+        for r in rows.where(F.col("lang").isin(lacking)).groupBy("lang").agg(least.alias("text")).collect():
+            texts[r.lang] = [normal(r.text)[:room]]
+    return Model({k: "\n".join(v) for k, v in texts.items() if any(v)})
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """``(id_col, lang_pred, score, phrases, chars)`` for each row, from the text alone.
 
     Null text, text without a letter and a model without languages give ``und``, score 0 and no
     phrases. Ties go to the language that sorts first. score is one less the share of phrases that
-    the best language needs against the next (1 where there is one language).
+    the best language needs against the next (1 where there is one language). ``keep_text`` adds the text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, 2 << 20):
                 count, length = model.phrases(b.column(1).to_pylist())
                 known = length > 0 if model.langs else np.zeros(len(length), bool)
                 cost = count * model.cost if model.langs else np.zeros((len(length), 1))
@@ -199,18 +249,24 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 langs = np.array([*model.langs, "und"], object)
                 pred = langs[np.where(known, best, len(langs) - 1)]
                 used = count[np.arange(len(length)), best] if model.langs else np.zeros(len(length), np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(used), pa.array(length)], names=["id", "lang_pred", "score", "phrases", "chars"])
+                kept = [b.column(1)] if keep_text else []
+                yield pa.RecordBatch.from_arrays([b.column(0), *kept, pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(used), pa.array(length)], names=names)
 
+    names = ["id", *["kept"] * keep_text, "lang_pred", "score", "phrases", "chars"]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, phrases bigint, chars bigint").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, {'kept string, ' * keep_text}lang_pred string, score double, phrases bigint, chars bigint"
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return out.withColumnsRenamed({"id": id_col, "kept": text_col})
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (``und``); the others get the predicted language in ``lang``."""
     model = train(docs.where(chosen(F.col("doc_id"))))
-    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    known = predict(held, model, "_row", "_text").where("lang_pred <> 'und'")
-    return known.select(*((F.col("lang_pred") if c == "lang" else F.col("_row")[c]).alias(c) for c in docs.columns))
+    rest = [c for c in docs.columns if c != "text"]
+    held = docs.select(F.struct(*rest).alias("_row"), F.col("text").cast("string").alias("_text"))
+    known = predict(held, model, "_row", "_text", keep_text=True).where("lang_pred <> 'und'")
+    own = {"lang": F.col("lang_pred"), "text": F.col("_text").cast(docs.schema["text"].dataType)}
+    return known.select(*(own.get(c, F.col("_row")[c] if c in rest else None).alias(c) for c in docs.columns))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

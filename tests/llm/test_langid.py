@@ -9,20 +9,18 @@ from plyframe.llm import langid as L
 def brute_phrases(text, sample, letters):
     code = lambda s: "".join(c if c == " " or c in letters else "\x01" for c in s)
     text, sample, n = code(text), code(sample), 0
-    for at in range(0, len(text), L.BLOCK):
-        block = text[at : at + L.BLOCK]
-        i = 0
-        while i < len(block):
-            j = i + 1
-            while j < len(block) and block[i : j + 1] in sample:
-                j += 1
-            n, i = n + 1, j
+    i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        n, i = n + 1, j
     return n
 
 
 def test_phrases_against_brute_force(monkeypatch):
     rng = random.Random(7)
-    for block in (1024, 7):
+    for block in (1024, 7, 1):
         monkeypatch.setattr(L, "BLOCK", block)
         samples = {"b": "banana bandana é", "a": "abc abd  xyz!", "c": "日本語 ab"}
         model = L.Model(samples)
@@ -80,7 +78,10 @@ def test_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(L, "SAMPLE_CHARS", 300)
     df = spark.createDataFrame([(i, "ab " * (20 + i), "x") for i in range(500)] + [(900, "longer " * 99, "y")], "doc_id bigint, text string, lang string")
     model = L.train(df)
-    assert set(model.langs) == {"x", "y"} and all(0 < len(t) <= 301 for t in model.texts.values())
+    assert set(model.langs) == {"x", "y"} and L.train(df.withColumn("lang", F.when(F.col("doc_id") == 900, "y"))).langs == ["y"]
+    nulls = df.withColumn("text", F.when(F.col("doc_id") % 100 == 0, F.col("text")))
+    assert set(L.train(nulls).langs) == {"x", "y"}
+    assert all(0 < len(t) <= 301 for t in model.texts.values())
 
 
 def test_held_out_accuracy(spark):
