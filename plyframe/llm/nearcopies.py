@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import Words, cut, mix, slices
+from plyframe.llm.common import Words, cut, keyed, mix, slices
 from plyframe.llm.components import components
 from plyframe.llm.simhash import LENGTH, MESSAGE, golay
 
@@ -217,9 +217,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one whose doc_id is least.
 
-    Rows without doc_id can't be told apart and stay. Of repeated rows of one doc_id one stays.
+    Rows without doc_id can't be told apart and stay. Rows of one doc_id with other texts are documents of their own,
+    in the order of a hash of their texts; of rows that repeat doc_id and text one stays.
     """
-    kept = cut(groups(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    single = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several).unionByName(docs.where("doc_id is null"))
+    rows = keyed(docs.select(F.col("doc_id").alias("doc"), F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")).where("doc is not null"))
+    clash = "key" in rows.columns
+    node = F.struct("doc", F.coalesce("key", F.lit(0).cast("bigint")).alias("key")) if clash else F.col("doc")
+    nodes = rows.select(node.alias("node"), "text", *["row"] * clash)
+    kept = cut(groups(nodes, "node").where("node = component_id").select("node").distinct())
+    if clash:
+        rows = nodes.join(kept, "node", "left_semi")
+        several = rows.where("node.key <> 0").groupBy("node").agg(F.any_value("row").alias("row"))
+        found = rows.where("node.key = 0").select("row").unionByName(several.select("row")).select("row.*")
+    else:
+        found = docs.join(kept, docs.doc_id == kept.node, "left_semi")
+    return found.unionByName(docs.where("doc_id is null"))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import Words, mix, powers, slices, table, written
+from plyframe.llm.common import Words, keyed, mix, powers, slices, table, written
 
 K, WINDOW, MIN_WORDS, SIMILARITY = 5, 4, 50, 0.8
 #: Words that a gap of may cost as much as a seed earns; words read beyond the outer seeds.
@@ -469,15 +469,6 @@ def gap(a: list[bytes], b: list[bytes], i: int, p: int, j: int, q: int) -> list[
     return [(i, i + n, j, j + n, wrong), (i + n, p - m, j + n, q - m, inner), (p - m, p, q - m, q, other)]
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """``rows(doc, text, ...)``, with ``key`` if an id has more than one row: a hash of the text for rows of such ids, else 0."""
-    again = written(rows.where("doc is not null").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("again")), "ids")
-    if again.isEmpty():
-        return rows
-    joined = rows.join(again, F.col("doc") == F.col("again"), "left")
-    return joined.withColumn("key", F.when(F.col("again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint"))).drop("again")
-
-
 def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 

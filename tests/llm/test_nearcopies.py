@@ -119,3 +119,13 @@ def test_near_pairs_of_a_hot_key_meet(spark, monkeypatch):
     nodes = spark.createDataFrame([(n, bytearray(row.tobytes())) for n, row in enumerate(fps)], "node bigint, fp binary")
     links = N.linked(N.salted(keyed).join(nodes, "node"), "bigint", N.most_apart()).collect()
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in links} == {(n, n + 50) for n in range(50)}
+
+
+def test_one_id_with_several_texts(spark):
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 9999, n))
+    a, b, c = text(80), text(90), text(70)
+    rows = [(1, a, 5), (2, a, 6), (2, b, 7), (2, b, 7), (3, c, 8), (3, c, 8), (4, b, 9), (2, None, 1), (None, a, 2)]
+    kept = N.keep_one(spark.createDataFrame(rows, "doc_id int, text string, node int"))
+    assert kept.columns == ["doc_id", "text", "node"]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a, 5), (2, b, 7), (3, c, 8), (2, None, 1), (None, a, 2)], key=str)
