@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 from itertools import cycle
 from operator import getitem
@@ -32,12 +33,21 @@ from plyframe.llm.common import mix, powers, slices, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, DROPOUT, STREAMS = 20240501, 0.1, 8
-#: Words that a worker remembers, and the longest that is encoded in arrays.
+#: Words that a worker remembers, and the longest that is remembered and encoded in arrays.
 REMEMBERED, WIDE = 300_000, 64
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 
 
+def mixed(x: int) -> int:
+    """``mix`` of one number."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & 2**64 - 1
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & 2**64 - 1
+    return x ^ x >> 31
+
+
 class Encoder:
     """Of a model's bytes; its tables are built where they are used."""
 
@@ -46,10 +56,10 @@ class Encoder:
             raise ValueError("dropout is a rate from 0 to 1")
         self.model, self.seed, self.dropout = model, seed, dropout
         self.streams = max(1, streams) if dropout else 1
-        self.slots = None
+        self.slots = self.pairs = None
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("model", "seed", "dropout", "streams")} | {"slots": None}
+        return {k: getattr(self, k) for k in ("model", "seed", "dropout", "streams")} | {"slots": None, "pairs": None}
 
     def build(self) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_proto=self.model)
@@ -196,38 +206,36 @@ class Encoder:
         return iter(out)
 
     def agenda(self, points: np.ndarray, key: np.uint64) -> list[int]:
-        """Symbols of one word, by a heap of candidates."""
+        """Symbols of one word, by a heap of candidates; hashes are drawn in plain integers."""
+        if self.pairs is None:
+            full = np.flatnonzero(self.slots != np.uint64(2**64 - 1))
+            pieces = self.merged[full]
+            self.pairs = dict(zip(self.slots[full].tolist(), zip(pieces.tolist(), self.rank[pieces].tolist())))
         sym = self.symbol[points].tolist()
-        n = len(sym)
+        n, word, limit = len(sym), int(key), self.dropout * 2.0**53
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        word = np.array([key], np.uint64)
         heap: list[tuple[int, int, int, int, int]] = []
 
-        def propose(left: int, middle: int, end: int, piece: int, rank: int) -> None:
-            if piece >= 0:
-                heapq.heappush(heap, (rank, left, middle, end, piece))
+        def propose(left: int, middle: int, end: int) -> None:
+            found = self.pairs.get(sym[left] << 32 | sym[middle])
+            if found:
+                heapq.heappush(heap, (found[1], left, middle, end, found[0]))
 
-        pieces, ranks = self.join(np.array(sym[:-1]), np.array(sym[1:]))
         for i in range(n - 1):
-            propose(i, i + 1, i + 2, int(pieces[i]), int(ranks[i]))
+            propose(i, i + 1, i + 2)
         while heap:
             _, left, middle, end, piece = heapq.heappop(heap)
             if sym[left] < 0 or after[left] != middle or middle >= n or sym[middle] < 0 or after[middle] != end:
                 continue
-            if self.skipped(word, np.array([left]), np.array([middle]), np.array([end]))[0]:
+            if limit and mixed(mixed(word ^ left) ^ (middle << 32 | end)) >> 11 < limit:
                 continue
             sym[left], sym[middle] = piece, -1
             after[left] = end
             before[end] = left
-            around = []
             if end < n:
-                around.append((left, end, after[end]))
+                propose(left, end, after[end])
             if before[left] >= 0:
-                around.append((before[left], left, end))
-            if around:
-                pieces, ranks = self.join(np.array([sym[a] for a, _, _ in around]), np.array([sym[b] for _, b, _ in around]))
-                for (a, b, c), p, r in zip(around, pieces.tolist(), ranks.tolist()):
-                    propose(a, b, c, p, r)
+                propose(before[left], left, end)
         return [s for s in sym if s >= 0]
 
     def ids_of(self, symbols: list[int]) -> bytes:
@@ -250,10 +258,11 @@ class Encoder:
             for i in range(self.streams):
                 new[(s + i) % self.streams].update(words[i :: self.streams])
         new = [a.difference(b) for a, b in zip(new, self.known)]
-        words = [w for s in new for w in s]
+        words, long = [w for s in new for w in s], [{} for _ in range(self.streams)]
         for w, s, ids in zip(words, (streams := np.repeat(np.arange(self.streams), [len(s) for s in new])).tolist(), self.encode_words(words, streams) if words else []):
-            self.known[s][w] = ids
-        return [b"".join(map(getitem, cycle(self.known[s:] + self.known[:s]), w)) for w, s in zip(split, of)]
+            (self.known if len(w) <= WIDE else long)[s][w] = ids
+        known = [ChainMap(a, b) if b else a for a, b in zip(self.known, long)]
+        return [b"".join(map(getitem, cycle(known[s:] + known[:s]), w)) for w, s in zip(split, of)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids as UTF-8, without the space put before it."""
