@@ -1,18 +1,15 @@
 """The corpus pipeline: five stages over documents, each written and read again before the next.
 
 Every stage works on all rows that the one before kept, and all but the last return the columns of
-documents. Intermediate tables go to the shared folder of spark.checkpoint.dir.
+documents. Intermediate tables go to the shared folder of spark.checkpoint.dir and are deleted when the driver ends.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from plyframe.llm import decontaminate, langid, nearcopies, passages, sentencepieces
-from plyframe.llm.common import table
+from plyframe.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,17 +45,14 @@ STAGES = [
     ("sentencepiece", encoded),
 ]
 
-#: SQL can express neither suffix automata nor keyed merge-dropout; tests/llm/test_pipeline.py compares with brute force.
+#: SQL can express neither suffix automata nor keyed merge-dropout; tests/llm/test_pipeline.py
+#: checks every decision of its stages on planted rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns for the documents of ``sf_dir``."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plyframe-")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
