@@ -173,7 +173,7 @@ class Words:
         return mix(out[at]), at
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20):
     """``batch`` in runs of rows of about ``limit`` bytes of a string column; a longer row is alone."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(sizes)

@@ -601,7 +601,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = repeats(docs).groupBy("doc_id", "doc_id_key").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     rows = keyed(docs.select(F.col("doc_id").alias("doc"), F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")))
     same = (F.col("doc") == F.col("doc_id")) & (F.col("key") == F.col("doc_id_key")) if "key" in rows.columns else F.col("doc") == F.col("doc_id")
-    held = rows.join(written(found, "spans"), same, "left").select("row", "text", "spans")
+    held = rows.join(found, same, "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
