@@ -17,9 +17,13 @@ QUERIES = {
     "op10_html_extraction": webtext.op10_html_extraction,
 }
 
+#: What SQL can express of some of them.
+QUERIES |= {"url_given_rules": urls.url_given_rules}
+
 ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": decontaminate.OP5_SQL,
     "op6_chat_formatting": chats.OP6_SQL,
+    "url_given_rules": urls.URL_GIVEN_RULES_SQL,
 }
 
 

@@ -2,8 +2,8 @@
 
 Given rules fit a host and its subdomains and a path prefix; the longest wins. Where none fits,
 association rules decide: Spark's FP-growth finds token combinations of labelled URLs that occur
-together with a bad label; those of enough support and confidence stay, unless a part of
-them is as sure. Rules are kept in an inverted index under their rarest token, so a URL meets
+together with a bad label; those of enough support whose confidence is far enough above the share of bad URLs, by
+itself and against chance, stay, unless a part of them is as sure. So rules can exist at any share of bad URLs. Rules are kept in an inverted index under their rarest token, so a URL meets
 those of its own tokens only. Without a fitting rule a URL is allowed.
 """
 
@@ -20,8 +20,11 @@ from plyframe.llm.common import cut, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label:bad"
-#: Mining: share and number of labelled URLs a rule needs, its confidence, and that over the share of bad ones.
-MIN_SHARE, MIN_ROWS, CONFIDENCE, LIFT = 0.002, 20, 0.5, 1.5
+#: Mining: share and number of labelled bad URLs a rule needs; of what lies between the share of bad URLs and certainty, how much its
+#: confidence must reach; and by how many standard deviations of chance it must do so.
+MIN_SHARE, MIN_ROWS, CERTAINTY, DEVIATIONS = 0.002, 10, 0.2, 3.0
+#: Tokens of a URL that combinations are made of: those that tell most by themselves. Rules are 2**TOKENS a URL at most.
+TOKENS = 12
 #: Mined rules in one expression; more of them take more expressions over the same row.
 RULES_AT_ONCE = 500
 
@@ -84,19 +87,43 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(*(tagged(t, F.array(c)) for t, c in single), tagged("segment", segments), tagged("query", keys)))
 
 
+def sure(n: Column, bad: Column, share: float) -> Column:
+    """By how many standard deviations of chance n rows have more bad ones than that share."""
+    return (bad - n * share) / F.sqrt(n * (share * (1 - share)))
+
+
+def baskets(labelled: DataFrame) -> DataFrame:
+    """``(items, bad)`` of ``labelled(url, bad)``: frequent tokens of each URL, at most TOKENS, and BAD where it is bad."""
+    rows = cut(labelled.where("url is not null and bad is not null").select(F.monotonically_increasing_id().alias("id"), "bad", tokens(F.col("url")).alias("own")))
+    n, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    if not n:
+        return rows.select(F.col("own").alias("items"), "bad")
+    each = rows.select("id", "bad", F.explode("own").alias("token"))
+    told = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("m")).where(F.col("m") >= least(n))
+    told = told.select("token", F.abs(sure(F.col("n"), F.col("m"), min(max(bad / n, 1e-9), 1 - 1e-9))).alias("tells"))
+    best = each.join(told, "token").groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("tells", "token")), False), 1, TOKENS)["token"].alias("best"))
+    items = F.coalesce("best", F.array().cast("array<string>"))
+    return rows.select("id", "bad").join(best, "id", "left").select(F.when(F.col("bad"), F.array_append(items, F.lit(BAD))).otherwise(items).alias("items"), "bad")
+
+
+def least(n: int) -> float:
+    return max(MIN_SHARE * n, MIN_ROWS)
+
+
 def mine(labelled: DataFrame) -> list[Mined]:
-    """Rules of ``labelled(url, bad)``, the surest first; their number is bounded by MIN_SHARE.
+    """Rules of ``labelled(url, bad)``, the surest first.
 
-    Null urls and null labels are passed over. Too few rows, or none bad, give no rule.
+    Null urls and null labels are passed over. Too few rows, or none or all bad, give no rule.
     """
-    rows = labelled.where("url is not null and bad is not null").select(F.when(F.col("bad"), F.array_append(tokens(F.col("url")), F.lit(BAD))).otherwise(tokens(F.col("url"))).alias("items"), "bad")
-    rows = cut(rows)
+    rows = cut(baskets(labelled))
     n, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
-    if n < MIN_ROWS or not bad:
+    if n < MIN_ROWS or not 0 < bad < n:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=max(MIN_SHARE, MIN_ROWS / n), minConfidence=CONFIDENCE).fit(rows.select("items"))
+    share = bad / n
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least(n) / n), minConfidence=share + CERTAINTY * (1 - share)).fit(rows.select("items"))
     single = {r.items[0]: r.freq for r in model.freqItemsets.where("size(items) = 1").collect()}
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where(F.col("confidence") * n >= LIFT * bad).collect()
+    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).withColumn("m", F.col("support") * n)
+    found = rules.where(sure(F.col("m") / F.col("confidence"), F.col("m"), share) >= DEVIATIONS).collect()
     kept: list[Mined] = []
     for r in sorted(found, key=lambda r: (len(r.antecedent), sorted(r.antecedent))):
         own = frozenset(r.antecedent)
@@ -136,12 +163,35 @@ def judged(pages: DataFrame, mined: list[Mined], rules: tuple[Rule, ...] = RULES
     return rows.select(F.col("id").alias(id_col), "host", "path", F.col("given.rule").alias("rule"), verdict.alias("verdict"), F.col("mined.tokens").alias("mined_rule"), F.col("mined.confidence").alias("confidence"))
 
 
+def document(url: Column) -> Column:
+    """The number of the document that a page shows: the last number in its url's path; null if there is none."""
+    return F.regexp_extract(parts(url)[1], r"(\d+)\D*$", 1).try_cast("bigint")
+
+
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(url, bad)``: a page's label is that of the document with its number; bad means toxic or of low quality."""
+    """``(url, bad)``: a page's label is that of the document it shows; bad means toxic or of low quality."""
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
-    return pages.select("page_id", "url").join(bad, F.col("page_id") == F.col("doc_id")).select("url", (F.col("bad") == 1).alias("bad"))
+    return pages.select("url", document(F.col("url")).alias("doc_id")).join(bad, "doc_id").select("url", (F.col("bad") == 1).alias("bad"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return judged(pages, mine(labelled(pages, table(spark, sf_dir, "labels"))))
+
+
+def url_given_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the given rules alone say of each page."""
+    return judged(table(spark, sf_dir, "pages"), []).select("page_id", "host", "path", "rule", "verdict")
+
+
+URL_GIVEN_RULES_SQL = """
+WITH p AS (
+  SELECT row_number() OVER () AS row_id, page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+f AS (
+  SELECT row_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY row_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (row_id)
+"""

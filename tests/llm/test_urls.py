@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from plyframe.llm import urls as U
@@ -49,9 +51,7 @@ def test_mined_rules(spark, monkeypatch):
     found = {m.tokens for m in mined}
     assert ("host:spam.net",) in found and ("host:a.net", "query:promo") in found
     clean = [(u, b) for u, b in rows if u is not None and b is not None]
-    for m in mined:
-        fits = [b for u, b in clean if set(m.tokens) <= set(spark_tokens(u))]
-        assert abs(sum(fits) / len(fits) - m.confidence) < 1e-9 and m.confidence >= U.CONFIDENCE and sum(fits) >= U.MIN_ROWS
+    assert {(m.tokens, round(m.confidence, 9)) for m in mined} == brute_rules(clean)
     df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(clean)], "page_id int, url string")
     for size in (500, 2):
         monkeypatch.setattr(U, "RULES_AT_ONCE", size)
@@ -63,6 +63,45 @@ def test_mined_rules(spark, monkeypatch):
     assert U.mine(spark.createDataFrame(rows[:5], "url string, bad boolean")) == []
 
 
+def brute_rules(rows):
+    """Every combination of tokens, without FP-growth."""
+    sets = [(frozenset(spark_tokens(u)), b) for u, b in rows]
+    n, share = len(sets), sum(b for _, b in sets) / len(sets)
+    subsets = {frozenset(c) for own in {s for s, b in sets if b} for k in range(1, len(own) + 1) for c in itertools.combinations(own, k)}
+    kept = []
+    for own in sorted(subsets, key=lambda s: (len(s), sorted(s))):
+        fits = [b for s, b in sets if own <= s]
+        m, conf = sum(fits), sum(fits) / len(fits)
+        if m >= max(U.MIN_ROWS, U.MIN_SHARE * n) and conf >= share + U.CERTAINTY * (1 - share) and (m - len(fits) * share) / (len(fits) * share * (1 - share)) ** 0.5 >= U.DEVIATIONS:
+            if not any(own > k and c >= conf for k, c in kept):
+                kept.append((own, conf))
+    return {(tuple(sorted(k)), round(c, 9)) for k, c in kept}
+
+
+def test_rules_at_a_high_share_of_bad_urls_and_many_tokens(spark):
+    rng = random.Random(5)
+    keys = "&".join(f"k{i}=1" for i in range(40))
+    rows = [(f"http://spam.net/x/{i}?{keys}", True) for i in range(300)] + [(f"http://h{i % 7}.net/y/{i}?{keys}", rng.random() < 0.7) for i in range(300)]
+    mined = U.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert any(m.tokens == ("host:spam.net",) and m.confidence == 1 for m in mined)
+    assert U.mine(spark.createDataFrame([(u, True) for u, _ in rows], "url string, bad boolean")) == []
+
+
+def test_a_page_has_the_label_of_the_document_it_shows(spark):
+    pages = spark.createDataFrame([(5, "http://a.net/en/17?x=3"), (17, "http://b.net/fr/5.html"), (6, "http://c.net/"), (7, None), (8, "http://d.net/12345678901234567890")], "page_id int, url string")
+    labels = spark.createDataFrame([(17, 0, 0), (5, 1, 0), (5, 1, None), (None, 0, 1)], "doc_id int, quality int, toxic int")
+    assert sorted(map(tuple, U.labelled(pages, labels).collect()), key=str) == [("http://a.net/en/17?x=3", True), ("http://b.net/fr/5.html", False)]
+
+
+def test_given_rules_by_sql(spark, tmp_path):
+    rows = [(i, u) for i, u in enumerate(URLS)]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = U.url_given_rules(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute("select page_id, host, path, rule, verdict from (" + U.URL_GIVEN_RULES_SQL + ")").fetchall(), key=str)
+
+
 def spark_tokens(url):
     host, path = brute_parts(url)
     import re
