@@ -5,7 +5,8 @@ of two. For it a document is read as overlapping blocks of 2c shingles, one ever
 that occurs lies within a block, and a containment of 0.8 bounds the Jaccard similarity of item and
 block from below, however long the document is. The class takes as many hash functions, one to
 a band, as leave a miss with a chance of at most one in a million. Where a block and an item share
-a minimum, the document is a candidate; the exact share of the item's distinct shingles that the
+a minimum, the document is a candidate. Items that mostly repeat themselves would need ever more hash functions; of
+their few distinct shingles as many are looked up as none that contains 0.8 can lack all of. The exact share of the item's distinct shingles that the
 whole document contains decides.
 
 Items are sent to the documents in groups of bounded size, so a benchmark of any size takes
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from plyframe.llm.common import Words, slices, table
 
 WORDS, CONTAINMENT, MISS = 5, 0.8, 1e-6
+#: Items with over one distinct shingle in so many are found by MinHash.
+REPEATED = 2
 #: Items and bytes of them sent to the documents at once.
 ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 16 << 20
 
@@ -46,35 +49,60 @@ def multipliers(n: int) -> np.ndarray:
 
 
 class Index:
-    """MinHash values of test items by shingle width and size class."""
+    """MinHash values of test items by shingle width and size class; few bands each, as an item's shingles are mostly distinct.
+
+    Items whose shingles mostly repeat are few distinct ones: a document that contains 0.8 of n must hold
+    one of any n - ceil(0.8 n) + 1 of them, so these least hashes of each are looked up.
+    """
 
     def __init__(self, items: list[tuple[object, str]], containment: float = CONTAINMENT, width: int = WORDS) -> None:
         self.containment, self.width = containment, width
-        self.ids = [i for i, _ in items]
-        self.sets = [shingles(words(t), width) for _, t in items]
-        flat = Words(pa.array([t for _, t in items], pa.string()))
+        self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
+        self.sets: dict[int, set[tuple[bytes, ...]]] = {}
+        flat = Words(pa.array(self.texts, pa.string()))
         count = np.diff(flat.first)
         classes: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for i, n in enumerate(count.tolist()):
-            if n:
-                k = min(width, n)
-                classes[k, 1 << (n - k).bit_length()].append(i)
-        self.classes = []
-        for (k, size), members in sorted(classes.items()):
+        few: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        own: dict[int, np.ndarray] = {}
+        for k in range(1, width + 1):
             hashes, at = flat.shingles(k)
             doc = flat.doc()[at]
-            own = [np.unique(hashes[doc == i]) for i in members]
-            least = min(map(len, own))
+            for i in np.flatnonzero(count >= k if k == width else count == k).tolist():
+                low, high = np.searchsorted(doc, (i, i + 1))
+                own[i] = np.unique(hashes[low:high])
+                if len(own[i]) * REPEATED >= high - low:
+                    classes[k, 1 << int(high - low - 1).bit_length()].append(i)
+                else:
+                    few[k].append((own[i][: len(own[i]) - ceil(containment * len(own[i]) - 1e-9) + 1], i))
+        self.classes = []
+        for (k, size), members in sorted(classes.items()):
+            least = min(len(own[i]) for i in members)
             block = 2 * size if size > 1 else 1
             jaccard = containment * least / (block + (1 - containment) * least)
             bands = 1 if block == 1 else max(1, ceil(log(MISS) / log(1 - min(jaccard, 0.999))))
             by = multipliers(bands)
-            minima = np.array([[((h * a) >> np.uint64(32)).min() for h in own] for a in by])
+            minima = np.array([[((own[i] * a) >> np.uint64(32)).min() for i in members] for a in by])
             order = minima.argsort(axis=1, kind="stable")
-            seen = np.zeros((bands, 1 << 16), bool)
+            seen = np.zeros((bands, 1 << 13), np.uint8)  # a bit for each beginning of a minimum
             for b in range(bands):
-                seen[b, minima[b] >> np.uint64(16)] = True
+                np.bitwise_or.at(seen[b], minima[b] >> np.uint64(19), np.uint8(1) << (minima[b] >> np.uint64(16) & np.uint64(7)).astype(np.uint8))
             self.classes.append((k, size, by, np.take_along_axis(minima, order, 1), np.array(members)[order], seen))
+        self.few = {}
+        for k, parts in few.items():
+            keys, of = np.concatenate([h for h, _ in parts]), np.repeat([i for _, i in parts], [len(h) for h, _ in parts])
+            order = np.argsort(keys, kind="stable")
+            self.few[k] = keys[order], of[order]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"sets": {}}
+
+    def needed(self, i: int) -> set[tuple[bytes, ...]]:
+        """The distinct shingles of an item, remembered for as many words as all items of a group may have."""
+        if i not in self.sets:
+            if sum(map(len, self.sets.values())) > BYTES_AT_ONCE >> 5:
+                self.sets.clear()
+            self.sets[i] = shingles(words(self.texts[i]), self.width)
+        return self.sets[i]
 
     def candidates(self, texts: pa.Array) -> set[tuple[int, int]]:
         """Pairs of a text's place and an item's place that share a minimum in a block."""
@@ -101,12 +129,21 @@ class Index:
                     both = least.copy()
                     both[pair] = np.minimum(least[pair], next_)
                     least = both
-                hit = np.flatnonzero(seen[b, least >> np.uint64(16)])
+                hit = np.flatnonzero(seen[b, least >> np.uint64(19)] >> (least >> np.uint64(16) & np.uint64(7)).astype(np.uint8) & 1)
                 if len(hit):
                     low = np.searchsorted(minima[b], least[hit], "left")
                     high = np.searchsorted(minima[b], least[hit], "right")
                     for h, x, y in zip(hit.tolist(), low.tolist(), high.tolist()):
                         found.update((int(of[h]), int(i)) for i in members[b, x:y])
+        for k, (keys, of) in self.few.items():
+            hashes, at = flat.shingles(k)
+            doc = flat.doc()[at]
+            low = np.searchsorted(keys, hashes, "left")
+            for h in np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == hashes).tolist():
+                text, x = int(doc[h]), int(low[h])
+                while x < len(keys) and keys[x] == hashes[h]:
+                    found.add((text, int(of[x])))
+                    x += 1
         return found
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
@@ -115,7 +152,7 @@ class Index:
         for t, i in sorted(self.candidates(texts)):
             if t != last:
                 last, w, held = t, words(texts[t].as_py()), {}
-            need = self.sets[i]
+            need = self.needed(i)
             k = len(next(iter(need)))
             if k not in held:
                 held[k] = shingles(w, k) if len(w) >= k else set()

@@ -66,3 +66,19 @@ def test_filter_and_empty(spark, tmp_path):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((d for d, _ in docs if d not in bad), key=repr)
     none = spark.createDataFrame([], "item_id int, text string")
     assert D.contained(df, none).count() == 0 and D.contained(df.limit(0), none).count() == 0
+
+
+def test_items_of_repeated_words_stay_small():
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(3)
+    items = [(n, "same " * n) for n in (20, 200, 1000, 5000, 20000)] + [(1, "a b c d e f g " * 900), (2, " ".join(f"w{i}" for i in range(300)))]
+    docs = [(0, "x same same same same same y"), (1, "same same same same"), (2, "q " * 50 + "a b c d e f g " * 3), (3, items[-1][1] + " z"), (4, "a b c d e f " * 9)]
+    docs += [(5 + i, " ".join(rng.choices("abcdefg", k=400))) for i in range(20)]
+    tracemalloc.start()
+    index = D.Index(items)
+    found = index.search(pa.array([t for _, t in docs]))
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20 and len(pickle.dumps(index)) < 4 << 20
+    tracemalloc.stop()
+    assert sorted(((docs[t][0], items[i][0], s, n) for t, i, s, n in found), key=repr) == brute(docs, items)
