@@ -15,7 +15,7 @@ def article(k):
     body = [words(12) for _ in range(k)]
     inner = "".join(f"<p class='x'>{b}" + ("</p>" if i % 2 else "") for i, b in enumerate(body))
     page = f"<html><head><title>no</title></head><body><header>Site</header><nav><ul><li><a href='/'>{words(1)}</a><li>{words(1)}</ul></nav><aside class=sidebar>{words(9)}</aside><main><article><h1>{body[0]}</h1>{inner}<p>Read more about our site</p><div id='comments'><article><p>{words(6)}</p></article></div><form>x<input></form></article></main><footer>&copy; {words(3)}</footer><script>var a='<p>no</p>';</script></body></html>"
-    return page, " ".join([body[0], *body])
+    return page, " ".join([body[0], *body, "Read more about our site"])
 
 
 def plain(k):
@@ -68,3 +68,54 @@ def test_merging_in_any_order_keeps_counts():
         two = W.merged(two, p)
     count = lambda w: sorted((x["k"], x["t"] or "", tuple(x["d"])) for x in W.leaves(w))
     assert count(one) == count(two)
+
+
+def brute_common(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_longest_common_sequence(monkeypatch):
+    for cells in (1 << 26, 8):
+        monkeypatch.setattr(W, "CELLS", cells)
+        for _ in range(300):
+            x, y = ([RNG.choice("abcd") for _ in range(RNG.randrange(14))] for _ in range(2))
+            found = W.common(x, y)
+            assert all(x[i] == y[j] for i, j in found) and len(found) == brute_common(x, y)
+            assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:]))
+
+
+def test_many_mixed_siblings_are_aligned():
+    def page(n):
+        return W.Page("<div>" + "".join(f"<{k}>{i}</{k}>" for i, k in enumerate(RNG.choices(["p", "h2", "pre", "div"], k=n))) + "</div>")
+
+    a = page(30000)
+    wrapper = W.Wrapper(W.merged(W.bare(a.root), W.bare(page(20000).root)))
+    assert len(wrapper.kept(a)) == 30000
+    assert len(W.Page("<pre>" * 20000 + "</b></ul>" * 20000 + "x").blocks) == 1
+
+
+def rowset(spark, pages, parts):
+    df = spark.createDataFrame([(i, f"http://one.org/{i}", p) for i, p in enumerate(pages)], "page_id int, url string, html string").repartition(parts)
+    return {r.page_id: r.text for r in W.main_text(df).collect()}
+
+
+def test_nothing_of_an_article_goes_and_wrappers_decide_without_one(spark):
+    math = "<p>Euler <math><mi>e</mi></math> and <i class='search'>search</i> done</p><section class='related-work'><h2>Related work</h2><p>{}</p></section>"
+    pages, want = [], []
+    for i in range(12):
+        body = [words(20) for _ in range(3)]
+        links = f"<div class='related'><a href='x'>{words(3)}</a><a href='y'>{words(2)}</a></div>" if i % 2 else ""
+        pages.append(f"<body><div><a>{words(2)}</a></div><article><h2>Introduction</h2><p>{body[0]}</p>{math.format(body[1])}{links}</article><div>Terms of use</div></body>")
+        want.append(f"Introduction {body[0]} Euler e and search done Related work {body[1]}")
+    for i in range(12):  # no telling tag or class at all
+        body = [words(25) for _ in range(2 + i % 3)]
+        pages.append(f"<body><div><a>{words(2)}</a> <a>{words(1)}</a></div><section><div><p>Sign in to follow this site</p></div><div class=c{i}>{''.join(f'<p>{b}</p>' for b in body)}</div></section><table><tr><td>Terms of use</table></body>")
+        want.append(" ".join(body))
+    for part in (slice(0, 12), slice(12, 24)):
+        first = rowset(spark, pages[part], 1)
+        assert first == dict(enumerate(want[part]))
+        assert rowset(spark, pages[part], 5) == first
