@@ -5,9 +5,9 @@ numbered, and a rolling 128-bit hash (exclusive or of the hashes of position, ro
 for every prefix. A conversation whose whole hash is a proper prefix of another goes, by anti-join;
 of equal ones the least id stays. What is left is rendered.
 
-A conversation may be very long: turns are handled in chunks of CHUNK turn numbers, a window sees
-one chunk, chunks are combined from one row each, and a rendered conversation has a row for
-each chunk. Texts are shuffled once, by conversation and chunk, and for survivors only are they
+A conversation may be very long: turns are handled in chunks of CHUNK turn numbers, and where many turns have
+one number or none, these are dealt by their hash, which is their order. A window sees one chunk, chunks are combined
+from one row each, and so is a rendered conversation. Texts are shuffled once, by conversation and chunk, and for survivors only are they
 gathered; everything before uses hashes. Prefixes and whole conversations are pre-aggregated by
 their hash before they are joined, so copies and common first turns are one row each.
 """
@@ -37,19 +37,40 @@ def render(role: Column, text: Column) -> Column:
 
 
 def turns(chats: DataFrame) -> DataFrame:
-    """``(conv_id, chunk, turn, a, b)``: rows that repeat a turn wholly are one; a and b hash role and text."""
+    """``(conv_id, turn, a, b)``: rows that repeat a turn wholly are one; a and b hash role and text."""
     role, text = F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0"))
     return (
         chats.where("conv_id is not null")
-        .select("conv_id", chunk().alias("chunk"), "turn", F.xxhash64(F.lit(1), role, text).alias("a"), F.xxhash64(F.lit(2), text, role).alias("b"))
-        .groupBy("conv_id", "chunk", "turn", "a", "b")
+        .select("conv_id", "turn", F.xxhash64(F.lit(1), role, text).alias("a"), F.xxhash64(F.lit(2), text, role).alias("b"))
+        .groupBy("conv_id", "turn", "a", "b")
         .agg(F.lit(1).alias("_"))
         .drop("_")
     )
 
 
-def chunk() -> Column:
-    return F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(2**62)))
+def low() -> Column:
+    """The first turn number of a chunk; turns without a number come before all."""
+    return F.coalesce(F.floor(F.col("turn") / CHUNK) * CHUNK, F.lit(-(2**62)))
+
+
+def crowded(rows: DataFrame) -> DataFrame | None:
+    """``(conv_id, turn, parts)``: into how many parts the turns of one number go, for those of chunks of over 2 * CHUNK turns."""
+    full = cut(rows.groupBy("conv_id", low().alias("low")).agg(F.count("*").alias("n")).where(F.col("n") > 2 * CHUNK).drop("n"))
+    if full.isEmpty():
+        return None
+    among = rows.withColumn("low", low()).join(full, ["conv_id", "low"])
+    return cut(among.groupBy("conv_id", "turn").agg(F.ceil(F.count("*") / CHUNK).alias("parts")))
+
+
+def dealt(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """``rows(conv_id, turn, a)`` with their chunk; chunks are in the order of turns and, of one turn, of ``a``."""
+    if parts is None:
+        return rows.withColumn("chunk", F.struct(low().alias("low"), F.lit(0).cast("bigint").alias("nth")))
+    own = parts.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "parts")
+    joined = rows.join(own, (F.col("conv_id") == F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")), "left")
+    nth = F.floor((F.shiftright("a", 1) + F.lit(2**62)) / F.lit(float(2**63)) * F.col("parts"))
+    first = F.when(F.col("parts").isNotNull(), F.coalesce(F.col("turn").cast("bigint"), F.lit(-(2**62)))).otherwise(low())
+    return joined.withColumn("chunk", F.struct(first.alias("low"), F.coalesce(nth, F.lit(0)).cast("bigint").alias("nth"))).drop("_conv", "_turn", "parts")
 
 
 def prefixes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,21 +98,24 @@ def maximal(rolled: DataFrame) -> DataFrame:
 
 
 def formatted(chats: DataFrame) -> DataFrame:
-    """``(conv_id, part, n_turns, n_copies, text)``: rendered maximal conversations.
+    """``(conv_id, n_turns, n_copies, text)``: rendered maximal conversations, one row each.
 
     Turns are ordered by number (null first), ties by a hash of role and text; rows that repeat a
-    turn wholly count once. Rows without conv_id belong to no conversation. part counts the pieces of a
-    conversation from 0; only one with turn numbers beyond CHUNK has more than one. n_copies
+    turn wholly count once. Rows without conv_id belong to no conversation. n_copies
     tells how many conversations were equal. No conversation gives no row.
     """
-    chats = chats.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rolled, parts = prefixes(cut(turns(chats)))
+    chats = chats.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = cut(turns(chats))
+    crowd = crowded(rows)
+    rolled, parts = prefixes(dealt(rows, crowd))
     kept = cut(parts.join(maximal(cut(rolled)), "conv_id"))
     role, text = F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0"))
-    said = chats.where("conv_id is not null").withColumn("chunk", chunk()).join(kept, ["conv_id", "chunk"])
-    one = F.struct("turn", F.xxhash64(F.lit(1), role, text).alias("a"), F.xxhash64(F.lit(2), text, role).alias("b"), render(F.col("role"), F.col("text")).alias("text"))
+    said = dealt(chats.where("conv_id is not null").withColumn("a", F.xxhash64(F.lit(1), role, text)), crowd).join(kept, ["conv_id", "chunk"])
+    one = F.struct("turn", "a", F.xxhash64(F.lit(2), text, role).alias("b"), render(F.col("role"), F.col("text")).alias("text"))
     gathered = said.groupBy("conv_id", "part", "n_turns", "n_copies").agg(F.array_sort(F.collect_set(one)).alias("turns"))
-    return gathered.select("conv_id", F.col("part").cast("long"), "n_turns", "n_copies", F.concat_ws("", "turns.text").alias("text"))
+    pieces = gathered.select("conv_id", "n_turns", "n_copies", F.struct("part", F.concat_ws("", "turns.text").alias("text")).alias("piece"))
+    whole = pieces.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return whole.select("conv_id", "n_turns", "n_copies", F.concat_ws("", "pieces.text").alias("text"))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +131,6 @@ c AS (
                     || replace(replace(text, '<|im_start|>', '&lt;|im_start|>'), '<|im_end|>', '&lt;|im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST) AS text
   FROM t GROUP BY conv_id),
 inner_prefixes AS (SELECT DISTINCT list_slice(said, 1, n) AS said FROM (SELECT said, unnest(range(1, len(said))) AS n FROM c))
-SELECT min(conv_id) AS conv_id, 0::BIGINT AS part, any_value(len(said))::BIGINT AS n_turns, count(*)::BIGINT AS n_copies, any_value(replace(text, chr(1), '')) AS text
+SELECT min(conv_id) AS conv_id, any_value(len(said))::BIGINT AS n_turns, count(*)::BIGINT AS n_copies, any_value(replace(text, chr(1), '')) AS text
 FROM c WHERE said NOT IN (SELECT said FROM inner_prefixes) GROUP BY said
 """

@@ -40,10 +40,7 @@ def test_against_brute_force(spark, monkeypatch):
     want = brute(rows)
     for size in (1024, 3):
         monkeypatch.setattr(C, "CHUNK", size)
-        got = {}
-        for r in C.formatted(df).collect():
-            got.setdefault((r.conv_id, r.n_turns, r.n_copies), {})[r.part] = r.text
-        assert sorted((*k, "".join(v[i] for i in range(len(v)))) for k, v in got.items()) == want
+        assert sorted(map(tuple, C.formatted(df).collect())) == want
     assert C.formatted(df.limit(0)).count() == 0
 
 
@@ -51,4 +48,18 @@ def test_sql_gives_the_same():
     rows = data()
     con = duckdb.connect()
     con.register("conversations", pa.table({n: [r[i] for r in rows] for i, n in enumerate(("conv_id", "turn", "role", "text"))}))
-    assert sorted((r[0], r[2], r[3], r[4]) for r in con.execute(C.OP6_SQL).fetchall()) == brute(rows)
+    assert sorted(map(tuple, con.execute(C.OP6_SQL).fetchall())) == brute(rows)
+
+
+def test_many_turns_of_one_number(spark, monkeypatch):
+    rows = [(c, t, "user", f"{t} {i}") for c in (1, 2) for t in (None, 3, 4) for i in range(25)] + [(2, 9, "user", "last"), (3, 4, "user", "x")]
+    rows += [(4, *r[1:]) for r in rows if r[0] == 1]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    found = []
+    for size in (1024, 3):
+        monkeypatch.setattr(C, "CHUNK", size)
+        found.append(sorted(map(tuple, C.formatted(df).collect())))
+    assert found[0] == found[1] and [r[:3] for r in found[0]] == [(2, 76, 1), (3, 1, 1)]
+    pieces = found[0][0][3].split("<|im_start|>user\n")[1:]
+    assert sorted(pieces) == sorted(f"{r[3]}<|im_end|>\n" for r in rows if r[0] == 2)
+    assert [p.split()[0] for p in pieces] == ["None"] * 25 + ["3"] * 25 + ["4"] * 25 + ["last<|im_end|>"]
