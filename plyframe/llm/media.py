@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.llm.common import slices, table
@@ -282,7 +282,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit
 
 
 def digests(sniffed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The payload read back from sniffed wave files, its checksums and features; null media give null."""
+    """The payload read back from sniffed wave files, its checksums, features and the media carved out of it; null media give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -290,23 +290,42 @@ def digests(sniffed: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 rows = []
                 for media, kind, inner in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                     if media is None:
-                        rows.append((None,) * 6)
+                        rows.append((None,) * 7)
                         continue
                     payload = samples(media) if kind == "audio/wav" else media
                     counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
                     share = counts[counts > 0] / max(1, len(payload))
                     mean = float(counts @ np.arange(256)) / max(1, len(payload))
-                    feature = f"{kind};samples={len(payload)};mean={mean:.4f};entropy={float(-(share * np.log2(share)).sum()) + 0.0:.4f};distinct={len(share)};embedded={inner}"
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                    feature = f"{kind};samples={len(payload)};mean={mean:.4f};entropy={float(-(share * np.log2(share)).sum()) + 0.0:.4f};distinct={len(share)};embedded={len(inner)}"
+                    cut_out = [{**m, "sha256": hashlib.sha256(media[m["offset"] : m["offset"] + m["length"]]).hexdigest()} for m in inner]
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, cut_out))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("sha256", pa.string())])))
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["row", *names])
 
-    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    held = sniffed.select(F.struct(id_col, "n_bytes", "media_type", "corrected", F.size("embedded").alias("n_embedded")).alias("row"), "media", "media_type", F.size("embedded").alias("inner"))
-    out = held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "carved")
+    held = sniffed.select(F.struct(id_col, "n_bytes", "media_type", "corrected", F.size("embedded").alias("n_embedded")).alias("row"), "media", "media_type", "embedded")
+    out = held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, carved array<struct<offset:bigint,length:bigint,type:string,sha256:string>>")
     return out.select(F.col(f"row.{id_col}"), "row.n_bytes", *names, "row.media_type", "row.corrected", "row.n_embedded")
 
 
+def declared_by_name(n_bytes: Column) -> Column:
+    """What a careless store says of its media: texts of an even number of bytes are waves, those of a multiple of three images."""
+    return F.when(n_bytes % 2 == 0, "audio/wav").when(n_bytes % 3 == 0, "image/png").otherwise(UNKNOWN)
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = stored(table(spark, sf_dir, "documents")).withColumn("declared", F.lit(UNKNOWN))
+    media = stored(table(spark, sf_dir, "documents")).withColumn("declared", declared_by_name(F.col("n_bytes")))
     return digests(sniff(media))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of the stored and re-read payloads."""
+    return op9_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "corrected")
+
+
+MEDIA_PAYLOADS_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+n AS (SELECT doc_id, raw, octet_length(raw)::BIGINT AS n_bytes, greatest(64, 64 * ((octet_length(raw) + 63) // 64))::BIGINT AS payload_bytes FROM d)
+SELECT doc_id, n_bytes, payload_bytes, sha256(raw || unhex(repeat('00', (payload_bytes - n_bytes)::INT))) AS payload_sha256, payload_bytes + 44 AS media_bytes, n_bytes % 2 <> 0 AS corrected
+FROM n
+"""

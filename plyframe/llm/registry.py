@@ -18,12 +18,13 @@ QUERIES = {
 }
 
 #: What SQL can express of some of them.
-QUERIES |= {"url_given_rules": urls.url_given_rules}
+QUERIES |= {"url_given_rules": urls.url_given_rules, "media_payloads": media.media_payloads}
 
 ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": decontaminate.OP5_SQL,
     "op6_chat_formatting": chats.OP6_SQL,
     "url_given_rules": urls.URL_GIVEN_RULES_SQL,
+    "media_payloads": media.MEDIA_PAYLOADS_SQL,
 }
 
 

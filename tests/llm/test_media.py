@@ -5,6 +5,8 @@ import struct
 import zipfile
 import zlib
 
+import duckdb
+
 from plyframe.llm import media as M
 
 
@@ -58,3 +60,20 @@ def test_texts_come_back(spark):
         want.append((i if i != 6 else 0, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(payload) + 44, hashlib.sha256(M.wav(payload)).hexdigest()))
     assert sorted((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in got) == sorted(want)
     assert all(r.corrected and r.media_type == "audio/wav" for r in got) and len({r.feature for r in got if r.doc_id == 0}) == 1
+
+
+def test_query_carves_and_sql_gives_the_same(spark, tmp_path):
+    texts = ["a", "", None, "ab", "abc" * 5, "tail " + pdf_text(), "é" * 33]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in M.op9_media_columns(spark, str(tmp_path)).collect()}
+    assert {i: r.corrected for i, r in got.items()} == {i: len((t or "").encode()) % 2 != 0 for i, t in enumerate(texts)}
+    raw = pdf_text().encode()
+    assert [(c.offset, c.length, c.type, c.sha256) for c in got[5].carved] == [(49, len(raw), "application/pdf", hashlib.sha256(raw).hexdigest())]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, M.media_payloads(spark, str(tmp_path)).collect())) == sorted(con.execute(M.MEDIA_PAYLOADS_SQL).fetchall())
+
+
+def pdf_text():
+    """The sample formats' only one that is text."""
+    return samples()["application/pdf"].decode()
