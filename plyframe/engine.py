@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from plyframe import info
 from plyframe.operators.base import Game
-from plyframe.operators.history import forwarded
+from plyframe.operators.history import ends, forwarded
 from plyframe.operators.mnk import Mnk
-from plyframe.operators.solve import flat, solution
+from plyframe.operators.solve import flat, solution, union
 from plyframe.operators.zero_by import ZeroBy
-from plyframe.sources.store import IOMode, Store, point, upserted
+from plyframe.sources.store import IOMode, Store, upserted
 
 GAMES: dict[str, type[Game]] = {"zero-by": ZeroBy, "mnk": Mnk}
 
@@ -28,17 +28,28 @@ class Engine:
         return GAMES[name](variant)
 
     def build(self, name: str, variant: str | None = None, mode: str = "constructive", history: DataFrame | None = None) -> DataFrame:
-        """The table of a variant from its start, or from where ``history(line, text)`` leads.
+        """The table of a variant from its start, or from where ``history(line, text)`` leads; with a ``history_id``, from all of them.
 
-        constructive returns the stored table if it has the start, else adds what is missing;
-        overwrite begins anew; forgetful computes like constructive and stores nothing.
+        constructive returns the stored table if it has every start, else adds what is missing, taking what is stored as
+        solved; overwrite begins anew; forgetful computes like constructive and stores nothing.
         """
         how, game = IOMode(mode), self.game(name, variant)
-        start = game.start if history is None else forwarded(history.withColumn("history_id", F.lit(0)), game)
+        if history is None:
+            seeds = game.seed(self.spark)
+        else:
+            several = "history_id" in history.columns
+            seeds = ends(history, game).select("state").distinct() if several else self.spark.createDataFrame([(forwarded(history.withColumn("history_id", F.lit(0)), game),)], "state bigint")
         stored = None if how is IOMode.OVERWRITE else self.store.read(name, game.variant_text)
-        if stored is not None and not point(stored, start).isEmpty():
+        if stored is not None and seeds.join(stored.select("state"), "state", "left_anti").isEmpty():
             return stored
-        new = flat(game, solution(self.spark, game, start=start))
+        known = None
+        if stored is not None and isinstance(game, Mnk):
+            known = stored.select("state", "remoteness", F.array(*(f"utility_{i}" for i in range(game.players))).alias("utility"))
+        if isinstance(game, Mnk):
+            new = solution(self.spark, game, seeds, known=known)
+        else:  # one fold each, of a game that is cheap to solve
+            new = union([solution(self.spark, game, start=r.state) for r in seeds.collect()]).dropDuplicates(["state"])
+        new = flat(game, new)
         if stored is not None:
             new = upserted(stored, new)
         return new if how is IOMode.FORGETFUL else self.store.replace(name, game.variant_text, new)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,3 +39,8 @@ def any_of(conditions: list[Column]) -> Column:
 
 def total(values: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, values) if values else F.lit(0).cast("long")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]

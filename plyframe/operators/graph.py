@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.errors import InvalidGraph
-from plyframe.operators.solve import cut, peel
+from plyframe.operators.solve import cut, peel, union, unseen
 
 NODES, EDGES = "id bigint, turn bigint, utility array<bigint>", "src bigint, dst bigint, ord bigint"
 
@@ -31,42 +31,25 @@ class GraphBuilder:
 
     name: str
     nodes: list[Node] = field(default_factory=list)
-    edges: list[tuple[int, int]] = field(default_factory=list)
+    edges: dict[tuple[int, int], None] = field(default_factory=dict)
     start: int | None = None
-    players: int | None = None
-    exact: bool = False
+    numbers: dict[int, int] = field(default_factory=dict)
 
     def _index(self, n: Node) -> int:
-        for i, known in enumerate(self.nodes):
-            if known is n:
-                return i
-        self._count_players(n)
-        self.nodes.append(n)
-        return len(self.nodes) - 1
-
-    def _count_players(self, n: Node) -> None:
-        if n.utility is None:
-            if self.exact and n.turn >= self.players:
-                raise InvalidGraph(f"{self.name}: turn {n.turn} among {self.players} players")
-            self.players = self.players if self.exact else max(self.players or 0, n.turn + 1)
-            return
-        size = len(n.utility)
-        if not size or n.turn >= size:
-            raise InvalidGraph(f"{self.name}: turn {n.turn} with {size} utilities")
-        if self.exact and size != self.players or not self.exact and size < (self.players or 0):
-            raise InvalidGraph(f"{self.name}: {size} utilities for {self.players} players")
-        self.players, self.exact = size, True
+        """The number of a node, by identity; the node is kept, so identities stay apart."""
+        if id(n) not in self.numbers:
+            self.numbers[id(n)] = len(self.nodes)
+            self.nodes.append(n)
+        return self.numbers[id(n)]
 
     def edge(self, a: Node, b: Node) -> GraphBuilder:
         if a.utility is not None:
             raise InvalidGraph(f"{self.name}: an edge leaves a terminal node")
-        pair = self._index(a), self._index(b)
-        if pair not in self.edges:
-            self.edges.append(pair)
+        self.edges[self._index(a), self._index(b)] = None
         return self
 
     def source(self, n: Node) -> GraphBuilder:
-        if not any(k is n for k in self.nodes):
+        if id(n) not in self.numbers:
             raise InvalidGraph(f"{self.name}: the source is no node of any edge")
         self.start = self._index(n)
         return self
@@ -74,6 +57,13 @@ class GraphBuilder:
     def build(self) -> GraphGame:
         if self.start is None:
             raise InvalidGraph(f"{self.name}: no source")
+        sizes = {len(n.utility) for n in self.nodes if n.utility is not None}
+        if len(sizes) > 1:
+            raise InvalidGraph(f"{self.name}: terminal nodes with {' and '.join(map(str, sorted(sizes)))} utilities")
+        players = max(sizes, default=0)
+        for n in self.nodes if sizes else ():
+            if not 0 <= n.turn < players:
+                raise InvalidGraph(f"{self.name}: turn {n.turn} among {players} players")
         onward: dict[int, list[int]] = {}
         for a, b in self.edges:
             onward.setdefault(a, []).append(b)
@@ -87,7 +77,7 @@ class GraphBuilder:
                     todo.append(b)
         if not any(self.nodes[i].utility for i in seen):
             raise InvalidGraph(f"{self.name}: no terminal node can be reached")
-        return GraphGame(self.name, self.players, self.start, [(i, n.turn, list(n.utility) if n.utility else None) for i, n in enumerate(self.nodes)], [(a, b, k) for k, (a, b) in enumerate(self.edges)])
+        return GraphGame(self.name, players, self.start, [(i, n.turn, list(n.utility) if n.utility else None) for i, n in enumerate(self.nodes)], [(a, b, k) for k, (a, b) in enumerate(self.edges)], dict(self.numbers), list(self.nodes))
 
 
 @dataclass
@@ -97,6 +87,17 @@ class GraphGame:
     start: int
     node_rows: list[tuple[int, int, list[int] | None]]
     edge_rows: list[tuple[int, int, int]]
+    numbers: dict[int, int] = field(default_factory=dict)
+    nodes: list[Node] = field(default_factory=list)
+
+    def state(self, n: Node) -> int | None:
+        """The state of a node, or None if it is none of this game's."""
+        return self.numbers.get(id(n))
+
+    def incoming(self, spark: SparkSession, states: DataFrame) -> DataFrame:
+        """``(state, before)``: where play can come from, for each of ``states(state)``."""
+        edges = self.frames(spark)[1]
+        return states.join(edges, F.col("state") == F.col("dst")).select("state", F.col("src").alias("before"))
 
     def frames(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         return spark.createDataFrame(self.node_rows, NODES), spark.createDataFrame(self.edge_rows, EDGES)
@@ -115,12 +116,11 @@ class GraphGame:
 
 def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """``id`` of every node that can be reached from the seeds, themselves included."""
-    seen = cut(seeds.select("id").distinct())
-    fresh = seen
-    while not fresh.isEmpty():
-        fresh = cut(fresh.join(edges, fresh.id == edges.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
-        seen = cut(seen.unionAll(fresh))
-    return seen
+    found = [cut(seeds.select("id").distinct())]
+    while not found[-1].isEmpty():
+        fresh = found[-1].join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        found.append(cut(unseen(fresh, found, "id")))
+    return cut(union(found))
 
 
 def problems(nodes: DataFrame, edges: DataFrame, source: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plyframe.functions.bits import TOP, any_of, field, mask, total
+from plyframe.functions.bits import TOP, any_of, field, let, mask, total
 from plyframe.operators.base import Game
 from plyframe.plans import variants
 
@@ -99,14 +99,20 @@ class Mnk(Game):
 
     def decode(self, text: Column) -> Column:
         row = r"\[\s*[XO_](\s*,\s*[XO_])*\s*\]"
-        flat = F.regexp_replace(text, r"[^XO_\]]", "")
-        ragged = ~F.rlike(flat, F.lit(f"^([XO_]{{{self.n}}}\\]){{{self.m}}}\\]$"))
-        error = F.when(text.isNull() | ~F.rlike(text, F.lit(rf"^\s*\[\s*{row}(\s*,\s*{row})*\s*\]\s*$")), F.lit("malformed: not rows of X, O and _")).when(ragged, F.lit("wrong number of symbols"))
-        symbols = F.regexp_replace(flat, r"\]", "")
-        count = lambda s: F.length(symbols) - F.length(F.replace(symbols, F.lit(s), F.lit("")))
-        code = lambda c: F.when(F.substring(symbols, c + 1, 1) == "X", mask(X << self.shift(c))).when(F.substring(symbols, c + 1, 1) == "O", mask(O << self.shift(c))).otherwise(mask(0))
-        turn = F.when(count("X") <= count("O"), mask(1 << 63)).otherwise(mask(0))
-        return F.struct(F.when(error.isNull(), total([code(c) for c in range(self.cells)]).bitwiseOR(turn)).alias("state"), error.alias("error"))
+        well = rf"^\s*\[\s*{row}(\s*,\s*{row})*\s*\]\s*$"
+
+        def judged(p: Column) -> Column:
+            flat, symbols = p["flat"], p["symbols"]
+            error = F.when(p["bad"], F.lit("malformed: not rows of X, O and _")).when(~F.rlike(flat, F.lit(f"^([XO_]{{{self.n}}}\\]){{{self.m}}}\\]$")), F.lit("wrong number of symbols"))
+            count = lambda s: F.length(F.regexp_replace(symbols, f"[^{s}]", ""))
+            sign = lambda c: F.substring(symbols, c + 1, 1)
+            code = lambda c: F.when(sign(c) == "X", mask(X << self.shift(c))).when(sign(c) == "O", mask(O << self.shift(c))).otherwise(mask(0))
+            turn = F.when(count("X") <= count("O"), mask(1 << 63)).otherwise(mask(0))
+            return let(error, lambda x: F.struct(F.when(x.isNull(), total([code(c) for c in range(self.cells)]).bitwiseOR(turn)).alias("state"), x.alias("error")))
+
+        bad = F.coalesce(~F.rlike(text, F.lit(well)), F.lit(True))
+        signs = F.struct(F.regexp_replace(text, r"[^XO_\]]", "").alias("flat"), F.regexp_replace(text, r"[^XO_]", "").alias("symbols"), bad.alias("bad"))
+        return let(signs, judged)
 
     # Features.
 
@@ -147,25 +153,28 @@ class Mnk(Game):
         """1 if some move leaves the mover two or more other blank cells that each complete a line, else -1.
 
         A cell c is such a threat after move a if some line through c has all its other cells
-        held by the mover or equal to a. Tests are on the mover's bits, moved to X's places.
+        held by the mover or equal to a. Tests are on bits in X's places: the mover's cells, the blank
+        ones and the threats that stand already.
         """
-        mine = F.when(state < 0, state.bitwiseAND(mask(self.bits(list(range(self.cells)), X)))).otherwise(F.shiftrightunsigned(state.bitwiseAND(mask(self.bits(list(range(self.cells)), O))), 1))
-        need = {c: [self.bits([x for x in r if x != c], X) for r in self.lines() if c in r] for c in range(self.cells)}
-
-        def threat(c: int, held: Column) -> Column:
-            return any_of([held.bitwiseAND(mask(b)) == mask(b) for b in need[c]])
-
-        # Threats that stand already, less those through a, plus those once a is taken.
-        standing = total([F.when(self.blank(state, c) & threat(c, mine), 1).otherwise(0) for c in range(self.cells)])
-
-        def after(a: int) -> Column:
-            held = mine.bitwiseOR(mask(self.bits([a], X)))
-            through = sorted({c for c in range(self.cells) if c != a and any(a in r and c in r for r in self.lines())})
-            gained = total([F.when(self.blank(state, c) & threat(c, held), 1).otherwise(0) for c in through])
-            lost = total([F.when(self.blank(state, c) & threat(c, mine), 1).otherwise(0) for c in [*through, a]])
-            return self.blank(state, a) & (standing - lost + gained >= 2)
-
-        return F.when(any_of([after(a) for a in range(self.cells)]), F.lit(1)).otherwise(F.lit(-1)).cast("long")
+        lines, every = self.lines(), self.bits(list(range(self.cells)), X)
+        bit = lambda c: self.bits([c], X)
+        has = lambda held, cells: held.bitwiseAND(mask(self.bits(cells, X))) == mask(self.bits(cells, X))
+
+        def threats(p: Column, ways: list[tuple[int, list[int]]]) -> Column:
+            """Blank cells for which the mover holds all cells of one of their ways."""
+            by = {c: [w for d, w in ways if d == c] for c in sorted({c for c, _ in ways})}
+            return total([F.when((p["blank"].bitwiseAND(mask(bit(c))) != 0) & any_of([has(p["mine"], w) for w in by[c]]), mask(bit(c))).otherwise(mask(0)) for c in by])
+
+        def after(p: Column, a: int) -> Column:
+            gained = threats(p, [(c, [x for x in r if x not in (a, c)]) for r in lines if a in r for c in r if c != a])
+            left = p["standing"].bitwiseAND(mask(every & ~bit(a)))
+            return (p["blank"].bitwiseAND(mask(bit(a))) != 0) & (F.bit_count(left.bitwiseOR(gained)) >= 2)
+
+        x, o = state.bitwiseAND(mask(every)), F.shiftrightunsigned(state, 1).bitwiseAND(mask(every))
+        held = F.struct(F.when(state < 0, x).otherwise(o).alias("mine"), x.bitwiseOR(o).bitwiseXOR(mask(every)).alias("blank"))
+        standing = lambda p: F.struct(p["mine"].alias("mine"), p["blank"].alias("blank"), threats(p, [(c, [x for x in r if x != c]) for r in lines for c in r]).alias("standing"))
+        found = lambda p: F.when(any_of([after(p, a) for a in range(self.cells)]), F.lit(1)).otherwise(F.lit(-1)).cast("long")
+        return let(held, lambda p: let(standing(p), found))
 
     def center_control(self, state: Column) -> Column:
         if self.m % 2 == 0 or self.n % 2 == 0:

@@ -9,6 +9,7 @@ remoteness, then the least ord.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,33 +21,65 @@ from plyframe.operators.zero_by import ZeroBy
 from plyframe.operators.zero_by import solve as solve_zero_by
 
 
+#: Levels of a board game that are computed before their lineage is cut.
+AT_ONCE = 3
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where there is one machine and none is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plyframe-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plyframe-"))
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
-def levels(game: Mnk, seeds: DataFrame) -> list[DataFrame]:
-    """States at each distance from the seeds, for a board game: a state has one distance only.
+def levels(game: Mnk, seeds: DataFrame, known: DataFrame | None = None) -> list[DataFrame]:
+    """States at each distance from the seeds, for a board game: a state has one distance only. Known ones are left out.
 
     A move fills a cell, so there are as many levels as cells and one more; none is counted to tell the last.
     """
-    out = [cut(seeds.select("state").distinct())]
-    for _ in range(game.cells):
-        out.append(cut(game.expanded(out[-1]).select(F.col("child").alias("state")).distinct()))
+    new = lambda df: df if known is None else df.join(known.select("state"), "state", "left_anti")
+    out = [cut(new(seeds.select("state").distinct()))]
+    while len(out) <= game.cells:
+        own = [out[-1]]
+        for _ in range(min(AT_ONCE, game.cells + 1 - len(out))):
+            own.append(new(game.expanded(own[-1]).select(F.col("child").alias("state")).distinct()))
+        out += tagged(own[1:])
     return out
 
 
+def tagged(parts: list[DataFrame]) -> list[DataFrame]:
+    """Several tables that follow from each other, computed and cut as one."""
+    whole = cut(union([p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]))
+    return [whole.where(F.col("_part") == i).drop("_part") for i in range(len(parts))]
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def unseen(fresh: DataFrame, found: list[DataFrame], key: str) -> DataFrame:
+    """The keys of ``fresh`` that none of ``found`` has."""
+    marked = union([fresh.select(key, F.lit(True).alias("new")), *(f.select(key, F.lit(False).alias("new")) for f in found)])
+    return marked.groupBy(key).agg(F.min("new").alias("new")).where("new").select(key)
+
+
 def reachable(game: Game, seeds: DataFrame) -> DataFrame:
     """All states that play from the seeds can meet, each once; the game need not be graded."""
-    seen = cut(seeds.select("state").distinct())
-    fresh = seen
-    while not fresh.isEmpty():
-        fresh = cut(game.expanded(fresh).select(F.col("child").alias("state")).distinct().join(seen, "state", "left_anti"))
-        seen = cut(seen.unionAll(fresh))
-    return seen
+    found = [cut(seeds.select("state").distinct())]
+    while not found[-1].isEmpty():
+        fresh = game.expanded(found[-1]).select(F.col("child").alias("state")).distinct()
+        found.append(cut(unseen(fresh, found, "state")))
+    return cut(union(found))
 
 
 def terminal(game: Game, states: DataFrame) -> DataFrame:
@@ -64,21 +97,24 @@ def best_children(moves: DataFrame, solved: DataFrame, player) -> DataFrame:
     return found.groupBy("state", "player").agg(best.alias("best")).select("state", (F.col("best.remoteness") + 1).alias("remoteness"), "player", F.col("best.utility").alias("utility"))
 
 
-def by_levels(game: Mnk, seeds: DataFrame, every: int = 4) -> DataFrame:
-    """Solutions of all states that a board game reaches from the seeds; lineage is cut every few levels."""
-    found = levels(game, seeds)
+def by_levels(game: Mnk, seeds: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Solutions of all states that a board game reaches from the seeds; lineage is cut every few levels.
+
+    Known solutions ``(state, remoteness, utility)`` aren't solved again and don't come out.
+    """
+    found = levels(game, seeds, known)[::-1]
     parts: list[DataFrame] = []
-    solved = None
-    for i, level in enumerate(reversed(found)):
-        own = terminal(game, level)
-        if solved is not None:
-            own = own.unionByName(best_children(game.expanded(level), solved, game.turn(F.col("state")).cast("long")))
-        solved = cut(own) if i % every == every - 1 or i == len(found) - 1 else own
-        parts.append(solved)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return cut(out)
+    for at in range(0, len(found), AT_ONCE):
+        own: list[DataFrame] = []
+        for level in found[at : at + AT_ONCE]:
+            new = terminal(game, level)
+            solved = (own or parts)[-1] if own or parts else None
+            if solved is not None:
+                below = solved if known is None else solved.select(*known.columns).unionByName(known)
+                new = new.unionByName(best_children(game.expanded(level), below, game.turn(F.col("state")).cast("long")))
+            own.append(new)
+        parts += tagged(own)
+    return cut(union(parts))
 
 
 def peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -100,14 +136,17 @@ def peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return solved
 
 
-def solution(spark: SparkSession, game: Game, seeds: DataFrame | None = None, start: int | None = None) -> DataFrame:
-    """``(state, remoteness, player, utility)`` of all states reachable from the game's start, or another."""
+def solution(spark: SparkSession, game: Game, seeds: DataFrame | None = None, start: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """``(state, remoteness, player, utility)`` of all states reachable from the game's start, another, or many.
+
+    ``known(state, remoteness, utility)`` are solutions that a board game doesn't solve again; they don't come out.
+    """
     if isinstance(game, ZeroBy) and seeds is None:
         return solve_zero_by(spark, game, start)
     if seeds is None:
         seeds = game.seed(spark) if start is None else spark.range(1).select(F.lit(start).cast("long").alias("state"))
     if isinstance(game, Mnk):
-        return by_levels(game, seeds)
+        return by_levels(game, seeds, known=known)
     found = cut(reachable(game, seeds))
     nodes = found.select(F.col("state").alias("id"), game.turn(F.col("state")).cast("long").alias("turn"), F.when(game.is_sink(F.col("state")), game.utility(F.col("state"))).alias("utility"))
     edges = game.expanded(found).select(F.col("state").alias("src"), F.col("child").alias("dst"), "ord")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.functions.bits import field, signed
+from plyframe.functions.bits import field, let, signed
 from plyframe.operators.base import Game
 from plyframe.plans import variants
 
@@ -51,17 +51,15 @@ class ZeroBy(Game):
         return F.concat_ws("-", self.elements(state).cast("string"), self.turn(state).cast("string"))
 
     def decode(self, text: Column) -> Column:
-        def number(group: int) -> Column:
-            digits = F.regexp_replace(F.regexp_extract(text, r"^(\d+)-(\d+)$", group), r"^0+(?=.)", "")
-            return F.when(F.length(digits).between(1, 18), digits.cast("long"))
-
-        e, t = number(1), number(2)
-        error = (
-            F.when(text.isNull() | ~F.rlike(text, F.lit(r"^\d+-\d+$")), F.lit("malformed: not elements-turn"))
-            .when(e.isNull() | (e > self.variant.start), F.lit("too many elements"))
-            .when(t.isNull() | (t >= self.players), F.lit("no such player"))
-        )
-        return F.struct(F.when(error.isNull(), self.pack(e.cast("long"), t.cast("long"))).alias("state"), error.alias("error"))
+        digits = [F.regexp_extract(text, r"^0*(\d+)-0*(\d+)$", k).alias(n) for k, n in ((1, "e"), (2, "t"))]
+        number = lambda d: F.when(F.length(d).between(1, 18), d.cast("long"))
+
+        def judged(p: Column) -> Column:
+            e, t = p["e"], p["t"]
+            error = F.when(p["bad"], F.lit("malformed: not elements-turn")).when(e.isNull() | (e > self.variant.start), F.lit("too many elements")).when(t.isNull() | (t >= self.players), F.lit("no such player"))
+            return let(error, lambda x: F.struct(F.when(x.isNull(), self.pack(e, t)).alias("state"), x.alias("error")))
+
+        return let(F.struct(*digits), lambda d: let(F.struct(number(d["e"]).alias("e"), number(d["t"]).alias("t"), (d["e"].isNull() | (d["e"] == "")).alias("bad")), judged))
 
 
 def values(variant: variants.ZeroByVariant, upto: int) -> tuple[np.ndarray, np.ndarray]:

@@ -356,7 +356,7 @@ def mnk_orbit_census(spark, sf_dir):
     return mnk_reachable_333(spark, sf_dir).select(g.ply(s).alias("ply"), g.orbit_rep(s).alias("r")).groupBy("ply").agg(F.count("*").alias("states"), F.count_distinct("r").alias("orbits"))
 
 
-MOVES = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth, (regexp_extract(props, '(\\d+)', 1)::BIGINT % 9) AS cell FROM events QUALIFY nth <= 6"
+MOVES = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth, (regexp_extract(props, '(\\d+)', 1)::BIGINT % 9) AS cell FROM events"
 
 
 @query(
@@ -369,7 +369,7 @@ SELECT user_id AS history_id, count(bad) = 0 AS valid, min(nth) FILTER (bad IS N
 def mnk_history_valid(spark, sf_dir):
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     cell = (F.regexp_extract("props", r"(\d+)", 1).cast("long") % 9).cast("int")
-    moves = read(spark, sf_dir, "events").select("user_id", F.row_number().over(order).alias("nth"), cell.alias("cell")).where("nth <= 6")
+    moves = read(spark, sf_dir, "events").select("user_id", F.row_number().over(order).alias("nth"), cell.alias("cell"))
     so_far = F.collect_list("cell").over(Window.partitionBy("user_id").orderBy("nth"))
     sign = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda c: F.when(F.array_contains(F.col("cells"), c), F.when((F.size("cells") - F.array_position(F.reverse("cells"), c)) % 2 == 0, "X").otherwise("O")).otherwise("_"))
     board = F.concat(F.lit("[["), *(x for k in (1, 4, 7) for x in (F.array_join(F.slice("signs", k, 3), ", "), F.lit("]]" if k == 7 else "], ["))))
@@ -431,8 +431,7 @@ def graph_stars(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> Store:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/plyframe-store"
-    return Store(spark, f"{folder}/store-{uuid.uuid4().hex}")
+    return Store(spark, f"{solve.shared(spark)}/store-{uuid.uuid4().hex}")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS o_custkey FROM orders UNION ALL SELECT -o_orderkey, o_custkey FROM orders WHERE o_orderkey % 10 = 0")

@@ -37,9 +37,16 @@ class Store:
         return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
 
     def exists(self, game: str, variant: str) -> bool:
+        """Whether there is a table; one whose replacement broke off between its two renames is put back first."""
         fs, p = self._fs(self.path(game, variant))
+        _, old = self._fs(self.replaced(game, variant))
+        if not fs.exists(p) and fs.exists(old):
+            fs.rename(old, p)
         return fs.exists(p)
 
+    def replaced(self, game: str, variant: str) -> str:
+        return f"{self.root}/_replaced/game={game}/variant={variant}"
+
     def read(self, game: str, variant: str) -> DataFrame | None:
         return self.spark.read.parquet(self.path(game, variant)) if self.exists(game, variant) else None
 
@@ -48,23 +55,21 @@ class Store:
         fs.delete(p, True)
 
     def replace(self, game: str, variant: str, rows: DataFrame) -> DataFrame:
-        """Writes beside the table and swaps by renaming, so a failed write leaves the old one."""
+        """Writes beside the table and swaps by renaming: a failed write leaves the old one, and so does a crash at any point."""
         staged = f"{self.root}/_staged-{uuid.uuid4().hex}"
         rows.write.parquet(staged)
         target = self.path(game, variant)
         fs, s = self._fs(staged)
         _, t = self._fs(target)
+        _, old = self._fs(self.replaced(game, variant))
         fs.mkdirs(t.getParent())
-        old = None
-        if fs.exists(t):
-            _, old = self._fs(f"{self.root}/_old-{uuid.uuid4().hex}")
+        fs.mkdirs(old.getParent())
+        if self.exists(game, variant):
+            fs.delete(old, True)  # left by a crash after both renames
             fs.rename(t, old)
         if not fs.rename(s, t):
-            if old is not None:
-                fs.rename(old, t)
             raise OSError(f"{staged} can't be renamed to {target}")
-        if old is not None:
-            fs.delete(old, True)
+        fs.delete(old, True)
         return self.spark.read.parquet(target)
 
     def upsert(self, game: str, variant: str, rows: DataFrame, key: str = "state") -> DataFrame:

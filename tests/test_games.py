@@ -20,20 +20,24 @@ from plyframe.plans.variants import Layout
 
 
 def test_variants():
-    for t in ("2-10-1-2", "5-1000-8-23-63-7", "1-1-1", "34-23623-8-6-3", "5-2-8-23", "1-619-496-1150"):
+    rng = random.Random(41)
+    for _ in range(20):
+        t = "-".join(str(rng.randrange(1, 300)) for _ in range(rng.randrange(3, 7)))
         assert variants.zero_by(t).text == t
-    for t in ("23-34-0-23", "two-three-five", "234572342-2345", "34-236--8-6-3", "0-12-234-364", "-234-256", "2-9223372036854775808-1", "٣-10-1"):
-        with pytest.raises(VariantMalformed):
-            variants.zero_by(t)
-    for t in ("3-3-3", "4-4-4", "2-4-2", "3-2-3"):
-        assert variants.mnk(t).text == t
-    for t in ("23-34-0-", "two-three-five", "234572342-2345", "34--236-3", "364", "-234-256", "8-4-4", "7-9-3", "7-5-5", "4-10-2", "11-1-1"):
+        for bad in (t + "-", "-" + t, t.replace("-", "--", 1), t + "-0", "0-" + t, t.replace("-", "+", 1), t + "-x", " ".join(t.split("-")), "-".join(t.split("-")[:2]), "", t.replace(t[0], "٣", 1)):
+            with pytest.raises(VariantMalformed):
+                variants.zero_by(bad)
+    with pytest.raises(VariantMalformed):
+        variants.zero_by(f"3-{2**63}-1")
+    for m, n, k in itertools.product(range(1, 6), range(1, 6), range(1, 4)):
+        assert (variants.mnk(f"{m}-{n}-{k}").m, variants.mnk(f"{m}-{n}-{k}").n) == (m, n)
+    for t in ("3-3", "3-3-3-3", "0-3-3", "3-0-3", "3-3-0", "a-b-c", "3-3-", "6-6-3", "31-1-1", "1-32-1", ""):
         with pytest.raises(VariantMalformed):
             variants.mnk(t)
     assert variants.zero_by().text == "2-10-1-2" and variants.mnk().text == "3-3-3"
 
 
-def test_small_functions():
+def test_small_functions(spark):
     assert [bit_width(v) for v in (0, 1, 6, 0x29, 255, 0xFDE0)] == [0, 1, 3, 6, 8, 16]
     assert identifier("zero-by 2-10") == "zero_by_2_10" and identifier("2x") == "_x"
     assert first_duplicate([3, 1, 3, 1]) == 3 and first_duplicate([1, 2]) is None
@@ -53,13 +57,14 @@ def decoded(spark, game, texts):
 
 def test_zero_by_codec(spark):
     g = ZeroBy()
-    good = ["10-0", "9-1", "0-0", "3-1", "5-1", "10-1", "1-0", "00010-00"]
+    good = [f"{e}-{t}" for e in (0, 4, 7, 10) for t in (0, 1)] + ["0004-001"]
     assert all(d.error is None for d in decoded(spark, g, good))
-    assert all(d.error and d.state is None for d in decoded(spark, g, ["-8-1", "10-2", "5-2", "2000-1", "45-32", "7-", "11-0", None, "", "9" * 40 + "-0", "1-" + "9" * 40]))
-    for v, ok in (("50-10-12-1-4", (1, 0, 0)), ("5-100-6-2-7", (1, 0, 0)), ("10-200-1-5", (1, 1, 1))):
-        assert [d.error is None for d in decoded(spark, ZeroBy(v), ["1-4", "150-9", "200-0"])] == [bool(x) for x in ok]
-    back = spark.createDataFrame([(d.state,) for d in decoded(spark, g, good[:7])], "s bigint").select(g.encode(F.col("s"))).collect()
-    assert [r[0] for r in back] == good[:7]
+    assert all(d.error and d.state is None for d in decoded(spark, g, ["11-0", "4-2", "-4-0", "4-", "-1", "4", "4-0-0", "4 - 0", "x-0", None, "", "8" * 30 + "-0", "1-" + "8" * 30]))
+    for v, top, players in (("6-90-2-7", 90, 6), ("11-40-1", 40, 11), ("1-255-3", 255, 1)):
+        rows = decoded(spark, ZeroBy(v), [f"{top}-{players - 1}", f"{top + 1}-0", f"{top}-{players}"])
+        assert [d.error for d in rows] == [None, "too many elements", "no such player"]
+    back = spark.createDataFrame([(d.state,) for d in decoded(spark, g, good[:8])], "s bigint").select(g.encode(F.col("s"))).collect()
+    assert [r[0] for r in back] == good[:8]
     assert ZeroBy("3-10-1-2").packed(8, 2) == -9223372036854775800 and ZeroBy("3-10-1-2").packed(9, 1) == 4611686018427387913
 
 
@@ -67,7 +72,8 @@ def test_mnk_codec(spark):
     g = Mnk()
     good = [info.GAMES["mnk"]["state-default"], " [[X,O ,\tX],[_, _, _],\n[O, O, X]] ", "[[X, X, X], [X, X, X], [X, X, X]]"]
     assert all(d.error is None for d in decoded(spark, g, good))
-    bad = ["[[_, , _], [_, _, _], [_, _, _]]", "[[A, _, _], [_, _, _], [_, _, _]]", "[[_, _, _], [_, _, _]]", "[[_, _, _, _], [_, _, _], [_, _, _]]", "[[_, _, _, _], [_, _], [_, _, _]]", "[[_,_,_],[_,_,_],[_,_,_],[_,_,_]]", None, ""]
+    full = "[[X, O, _], [_, X, O], [O, _, X]]"
+    bad = [full.replace("O", "", 1), full.replace("O", "0", 1), full.replace(", O]", "]", 1), full.replace("_]", "_, _]", 1), full[:-1] + ", [_, _, _]]", full[:-1], full[1:], full.replace("], [", " ", 1), "[[X], [O, _, _, X, O], [O, _, X]]", None, ""]
     assert all(d.error and d.state is None for d in decoded(spark, g, bad))
     wide = Mnk("2-3-2")
     d = decoded(spark, wide, ["[[X, O, _], [_, X, O]]"])[0]
@@ -170,16 +176,29 @@ def verify(spark, game, histories):
 
 
 def test_histories(spark):
-    good = [["10-0", "8-1", " ", "6-0", "4-1", "2-0", "0-1"], ["", "10-0", " "], ["10-0", "9-1", "8-0"]]
-    bad = [["10-0", "9-1", "8-0", "5-1"], ["10-0", "8-0"], ["10-1", "9-0"], ["0-10", "1-9"], ["ten", "nine"], [""], ["10-0", "8-1", "6-0", "4-1", "2-0", "0-1", "0-0"]]
+    def play(rng, variant, upto):
+        g = variants.zero_by(variant)
+        e, out = g.start, []
+        for k in range(upto):
+            out.append(f"{e}-{k % g.players}")
+            if not e:
+                break
+            e = max(0, e - rng.choice(list(g.choices)))
+        return out
+
+    rng = random.Random(43)
+    good = [play(rng, "2-10-1-2", 30), ["", "10-0", " "], play(rng, "2-10-1-2", 3)]
+    whole = good[0]
+    bad = [["10-0", "7-1"], ["10-0", "8-0"], ["9-1", "8-0"], ["0-1"], ["10-0", "?"], [""], [*whole, whole[-1]], [whole[0], "", whole[2]]]
     r = verify(spark, ZeroBy(), good + bad)
-    assert [r[i].valid for i in range(10)] == [True] * 3 + [False] * 7
-    assert (r[0].state & (1 << 62) - 1, r[3].error, r[3].error_line, r[5].error, r[9].error) == (0, "illegal move", 3, "wrong start", "play after the end")
-    g = ZeroBy("8-200-30-70-15-1")
-    good = ["200-0 185-1 115-2 114-3 113-4 83-5 82-6 81-7 11-0 10-1 9-2 0-3".split(), "200-0 199-1 198-2 197-3 196-4 195-5 180-6 110-7 80-0 79-1".split()]
-    bad = ["200-0 184-1".split(), "200-0 185-2".split(), "185-0".split(), "200-0 185-1 115-2 114-3 44-5".split()]
-    r = verify(spark, g, good + bad)
-    assert [r[i].valid for i in range(6)] == [True, True, False, False, False, False]
+    assert [r[i].valid for i in range(11)] == [True] * 3 + [False] * 8
+    assert (r[0].state & (1 << 62) - 1, r[3].error, r[3].error_line, r[5].error, r[7].error, r[8].error, r[9].error) == (0, "illegal move", 1, "wrong start", "malformed: not elements-turn", "empty history", "play after the end")
+    assert (r[10].error, r[10].error_line) == ("illegal move", 2)
+    v = "5-60-13-4-1"
+    good = [play(rng, v, n) for n in (1, 4, 99, 99)]
+    bad = [good[2][:2] + good[2][3:], good[2][1:], [*good[3], "0-0"]]
+    r = verify(spark, ZeroBy(v), good + bad)
+    assert [r[i].valid for i in range(7)] == [True] * 4 + [False] * 3
     m = ["[[_, _, _], [_, _, _], [_, _, _]]", "[[X, _, _], [_, _, _], [_, _, _]]", "[[X, _, _], [_, O, _], [_, _, _]]"]
     r = verify(spark, Mnk(), [m, [m[0], m[2]], m[1:]])
     assert [r[i].valid for i in range(3)] == [True, False, False]
@@ -197,6 +216,8 @@ def test_engine_modes_and_forwarding(spark, tmp_path, capsys):
     assert full.count() == 29 and not e.store.exists("mnk", "2-2-2")
     later = e.build("mnk", "2-2-2", history=lines("[[_, _], [_, _]]", "[[X, _], [_, _]]"))
     assert later.count() == 1 + 3 + 6 and later.where("ply = 0").count() == 0
+    many = spark.createDataFrame([(7, 0, "10-0"), (7, 1, "9-1"), (8, 0, "10-0"), (8, 1, "8-1")], "history_id int, line int, text string")
+    assert e.build("zero-by", mode="forgetful", history=many).count() >= part
     keys = spark.createDataFrame([(e.game("zero-by").start,), (12345,)], "state bigint")
     e.build("zero-by", mode="overwrite")
     assert sorted((r.remoteness is None, r.remoteness or 0) for r in e.lookup("zero-by", "2-10-1-2", keys).collect()) == [(False, 7), (True, 0)]
@@ -216,13 +237,15 @@ def test_graph_builder(spark):
     t, m = graph.node(1, 1, 2, 3), graph.node(0)
     g = graph.GraphBuilder("g").edge(m, t).edge(m, t).source(m).build()
     assert g.players == 3 and len(g.edge_rows) == 1 and "0 -> 1" in g.dot()
+    assert (g.state(m), g.state(t), g.state(graph.node(0))) == (0, 1, None)
+    assert [tuple(r) for r in g.incoming(spark, spark.createDataFrame([(0,), (1,)], "state bigint")).collect()] == [(1, 0)]
     B = graph.GraphBuilder
     faults = [
         lambda: B("no source").edge(m, t).build(),
-        lambda: B("other size").edge(m, t).edge(m, graph.node(0, 1, 2)),
-        lambda: B("empty").edge(m, graph.Node(0, ())),
-        lambda: B("turn").edge(m, graph.node(3, 1, 2, 3)),
-        lambda: B("medial turn").edge(m, t).edge(graph.node(5), t),
+        lambda: B("other size").edge(m, t).edge(m, graph.node(0, 1, 2)).source(m).build(),
+        lambda: B("empty").edge(m, graph.Node(0, ())).source(m).build(),
+        lambda: B("turn").edge(m, graph.node(3, 1, 2, 3)).source(m).build(),
+        lambda: B("medial turn").edge(m, t).edge(graph.node(5), t).source(m).build(),
         lambda: B("from terminal").edge(t, m),
         lambda: B("trap").edge(m, t).edge(m, graph.node(1)).source(m).build(),
         lambda: B("unknown").source(m),
@@ -246,3 +269,28 @@ def test_invariants_of_a_wider_board(spark):
         value = lambda c: (c.utility_0, c.utility_1)[x.player]  # noqa: B023, E731
         best = min(kids, key=lambda c: (-value(c[0]), c[0].remoteness, c[1]))[0]
         assert x.remoteness == best.remoteness + 1 and x.utility_0 == best.utility_0
+
+
+def test_what_is_stored_is_not_solved_again(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path))
+    g = e.game("mnk", "2-3-2")
+    whole = solve.flat(g, solve.solution(spark, g))
+    later = whole.where("ply >= 2")
+    # Stored values that nobody would compute show that they are taken as they are.
+    e.store.replace("mnk", "2-3-2", later.withColumn("remoteness", F.col("remoteness") + 100))
+    known = e.store.read("mnk", "2-3-2").select("state", "remoteness", F.array("utility_0", "utility_1").alias("utility"))
+    new = solve.solution(spark, g, known=known)
+    assert new.count() == 1 + 6
+    built = e.build("mnk", "2-3-2")
+    assert built.count() == whole.count() and built.where("ply = 0").first().remoteness > 100 and e.build("mnk", "2-3-2", mode="overwrite").where("ply = 0").first().remoteness < 10
+
+
+def test_a_replacement_that_breaks_off_loses_nothing(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.build("zero-by")
+    fs, target = e.store._fs(e.store.path("zero-by", "2-10-1-2"))
+    old = e.store._fs(e.store.replaced("zero-by", "2-10-1-2"))[1]
+    fs.mkdirs(old.getParent())
+    assert fs.rename(target, old)  # a crash between the two renames
+    assert e.store.read("zero-by", "2-10-1-2").count() == 20
+    assert e.build("zero-by", mode="overwrite").count() == 20 and not fs.exists(old)
