@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -183,3 +184,14 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20):
         end = max(at + 1, int(np.searchsorted(total, done + limit, "right")))
         yield batch.slice(at, end - at)
         at = end
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -497,8 +497,14 @@ def compared(own: list[bytes], held: list[bytes], x: list[int], y: list[int], n:
     return [(r[0] + low_a, r[1] + low_a, r[2] + low_b, r[3] + low_b, r[1] - r[0], r[4]) for r in found]
 
 
-#: Chains with one source that go on in one row: so many words between runs at most.
-TOGETHER = 1 << 16
+#: Chains with one source that go on in one row: so many words between runs and places at most. Rows that are Python objects at once.
+TOGETHER, ROWS = 1 << 13, 32
+
+
+def objects(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, few of them as Python objects at once."""
+    for at in range(0, batch.num_rows, ROWS):
+        yield from batch.slice(at, ROWS).to_pylist()
 
 
 def aligned(linked: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:
@@ -515,14 +521,14 @@ def aligned(linked: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:
             for b in slices(whole, b_text):
                 groups: dict[tuple, tuple[list[dict], list[int]]] = {}
                 done: list[tuple[tuple, list[dict]]] = []
-                for row in b.to_pylist():
+                for row in objects(b):
                     held = words(row["text"])
                     for c in row["c"]:
                         parts = [w for p, q in outside(c["x"], c["n"], len(held)) for w in held[p:q]]
                         src = tuple(c[k] for k in theirs)
                         own, size = groups.setdefault(src, ([], [0]))
                         own.append({k: row[k] for k in ours} | {k: c[k] for k in "xyn"} | {"a": b" ".join(parts).decode()})
-                        size[0] += len(parts)
+                        size[0] += len(parts) + 3 * len(c["x"])
                         if size[0] > TOGETHER:
                             done.append((src, groups.pop(src)[0]))
                 done += [(src, own) for src, (own, _) in groups.items()]
@@ -534,7 +540,7 @@ def aligned(linked: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:
         for whole in batches:
             for b in slices(whole, b_text):
                 out = []
-                for row in b.to_pylist():
+                for row in objects(b):
                     src = tuple(row[k] for k in theirs)
                     if src != last:
                         last, held = src, words(row["text"])
