@@ -144,7 +144,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = cut(fingerprints(docs, id_col, text_col))
     nodes = own.groupBy("fp").agg(F.min("id").alias("least"))
     linked = components(links(nodes))
-    roots = linked.join(nodes, linked.node == nodes.fp).groupBy("root").agg(F.min("least").alias("component"))
+    # Cut, as below: a join whose other side is aggregated in the same task can't be split where a component is very large.
+    roots = cut(linked.join(nodes, linked.node == nodes.fp).groupBy("root").agg(F.min("least").alias("component")))
     of = linked.join(roots, "root").select(F.col("node").alias("fp"), "component")
     # Cut, so that the last join stands alone and Spark can split a fingerprint with very many rows.
     named = cut(nodes.join(of, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
