@@ -58,5 +58,9 @@ class Engine:
         """``states(state)`` with their solutions, nulls where there is none."""
         return self.store.lookup(name, variant, states)
 
+    def drop(self, name: str, variant: str | None = None) -> None:
+        """Deletes the stored table of a variant; none is no error."""
+        self.store.drop(name, self.game(name, variant).variant_text)
+
     def info(self, name: str, attributes: list[str] | None = None, output: str = "legible") -> str:
         return info.formatted(self.spark, name, attributes, output)

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyframe import info
+from plyframe.errors import InvalidGraph, VariantMalformed
 from plyframe.functions import names
 from plyframe.functions.bits import bit_width
 from plyframe.operators import graph, history, solve
 from plyframe.operators.mnk import Mnk
 from plyframe.operators.zero_by import ZeroBy, solve_all, solve_everywhere
+from plyframe.plans import variants
 from plyframe.plans.variants import layout
 from plyframe.sources.store import Store, upserted
 
@@ -340,6 +342,19 @@ for _v in ("3-3-3", "2-2-2", "3-2-2", "2-4-3"):
     _mnk_solution(_v)
 
 
+DIGITS = ", ".join(f"(state >> {61 - 2 * i}) & 3 AS d{i}" for i in range(9))
+
+
+@query(
+    f"""SELECT state, remoteness, player, list_min({ORBIT}) AS orbit_rep, CASE WHEN {fork_sql()} THEN 1 ELSE -1 END::BIGINT AS fork_exists, ply,
+  {own_sql((4,))} AS center_control, {own_sql((0, 2, 6, 8))} AS corner_count, {own_sql((1, 3, 5, 7))} AS edge_count, utility_0, utility_1
+FROM (SELECT *, state < 0 AS x_moves, {DIGITS} FROM ({tree_sql(3, 3, 3)}))"""
+)
+def mnk_table_333(spark, sf_dir):
+    """The table as it is stored, features included."""
+    return solve.flat(Mnk(), solve.solution(spark, Mnk()))
+
+
 @query(f"SELECT state FROM ({tree_sql(3, 3, 3)})")
 def mnk_reachable_333(spark, sf_dir):
     g = Mnk()
@@ -417,6 +432,52 @@ def graph_validation(spark, sf_dir):
     return graph.problems(nodes, edges, spark.createDataFrame([(1,)], "id bigint"))
 
 
+@query("SELECT * FROM (VALUES ('no terminal reachable', 1::BIGINT), ('source is no node', 9)) AS t(problem, id)")
+def graph_source_validation(spark, sf_dir):
+    """Two nodes that only lead to each other, beside a terminal one that nothing leads to, and a source that isn't there."""
+    nodes = spark.createDataFrame([(1, 0, None), (2, 1, None), (3, 0, [1, -1])], graph.NODES)
+    edges = spark.createDataFrame([(1, 2, 0), (2, 1, 1)], graph.EDGES)
+    return graph.problems(nodes, edges, spark.createDataFrame([(1,), (9,)], "id bigint"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('from terminal', 'an edge leaves a terminal node'), ('no source', 'no source'), ('stranger', 'the source is no node of any edge'),
+  ('utilities', 'terminal nodes with 2 and 3 utilities'), ('turn', 'turn 2 among 2 players'), ('dead end', 'a node that isn''t terminal has no way on'),
+  ('endless', 'no terminal node can be reached'), ('well made', NULL)) AS t(name, fault)"""
+)
+def graph_builder_faults(spark, sf_dir):
+    def fault(name: str, edges: list[tuple[graph.Node, graph.Node]], source: graph.Node | None) -> str | None:
+        b = graph.GraphBuilder(name)
+        try:
+            for x, y in edges:
+                b.edge(x, y)
+            if source is not None:
+                b.source(source)
+            b.build()
+        except InvalidGraph as e:
+            return str(e).removeprefix(f"{name}: ")
+        return None
+
+    a, c, two, three, late, end = graph.node(0), graph.node(1), graph.node(0, 1, -1), graph.node(1, 1, 2, 3), graph.node(2), graph.node(1)
+    cases = [
+        ("from terminal", [(a, two), (two, c)], a),
+        ("no source", [(a, two)], None),
+        ("stranger", [(a, two)], c),
+        ("utilities", [(a, two), (a, three)], a),
+        ("turn", [(a, late), (late, two)], a),
+        ("dead end", [(a, two), (a, end)], a),
+        ("endless", [(a, c), (c, a)], a),
+        ("well made", [(a, c), (c, two), (a, two)], a),
+    ]
+    return spark.createDataFrame([(name, fault(name, edges, source)) for name, edges, source in cases], "name string, fault string")
+
+
+@query(rows_sql([(1, 0), (2, 0), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (5, 3), (5, 4), (6, 4), (7, 6)], "state, before"))
+def graph_incoming(spark, sf_dir):
+    g = sample("sample2")
+    return g.incoming(spark, spark.createDataFrame([(g.state(n),) for n in g.nodes], "state bigint"))
+
+
 @query("SELECT supp AS state, 1::BIGINT AS remoteness FROM (SELECT DISTINCT s_suppkey AS supp FROM supplier)")
 def graph_stars(spark, sf_dir):
     """Each supplier chooses between its own two ends: a graph as large as the table."""
@@ -466,6 +527,17 @@ def store_lookup(spark, sf_dir):
     return store.lookup(g.name, g.variant_text, keys).select("l_orderkey", "l_linenumber", "state", "remoteness", "utility_0")
 
 
+@query("SELECT 'kept' AS variant, true AS stored, count(*) AS n FROM supplier UNION ALL SELECT 'dropped', false, 0")
+def store_drop(spark, sf_dir):
+    store, rows = scratch(spark), read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("state"))
+    for variant in ("kept", "dropped"):
+        store.replace("suppliers", variant, rows)
+    store.drop("suppliers", "dropped")
+    found = [(v, store.exists("suppliers", v), store.read("suppliers", v)) for v in ("kept", "dropped")]
+    parts = [(spark.range(0) if df is None else df).agg(F.count("*").alias("n")).select(F.lit(v).alias("variant"), F.lit(e).alias("stored"), "n") for v, e, df in found]
+    return parts[0].unionByName(parts[1])
+
+
 # Small functions.
 
 
@@ -514,7 +586,66 @@ def schema_layout(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(layout(2, Mnk.features).names)), "place bigint, name string")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{a}', '{v.replace(chr(39), chr(39) * 2)}')" for g, own in info.GAMES.items() for a, v in own.items()) + ") AS t(game, attribute, value)")
+#: The attributes that aren't prose, as they must come out.
+STATED = ("name", "variant-pattern", "variant-default", "state-default")
+
+
+@query(
+    r"""SELECT * FROM (VALUES ('zero-by', 'name', 'zero-by'), ('zero-by', 'variant-pattern', '^[1-9]\d*(-[1-9]\d*){2,}$'), ('zero-by', 'variant-default', '2-10-1-2'), ('zero-by', 'state-default', '10-0'),
+  ('mnk', 'name', 'mnk'), ('mnk', 'variant-pattern', '^[1-9]\d*(-[1-9]\d*){2}$'), ('mnk', 'variant-default', '3-3-3'), ('mnk', 'state-default', '[[_, _, _], [_, _, _], [_, _, _]]')) AS t(game, attribute, value)"""
+)
 def info_attributes(spark, sf_dir):
-    parts = [info.rows(spark, g).select(F.lit(g).alias("game"), "attribute", "value") for g in info.GAMES]
+    parts = [info.rows(spark, g, list(STATED)).select(F.lit(g).alias("game"), "attribute", "value") for g in info.GAMES]
     return parts[0].unionByName(parts[1])
+
+
+@query("SELECT place, name FROM (SELECT unnest(['name', 'authors', 'about', 'variant-protocol', 'variant-pattern', 'variant-default', 'state-protocol', 'state-pattern', 'state-default']) AS name, unnest(range(9)) AS place)")
+def info_order(spark, sf_dir):
+    """All nine attributes in the order in which they come where none is asked for."""
+    return spark.createDataFrame([(i, r.attribute) for i, r in enumerate(info.rows(spark, "mnk").collect())], "place bigint, name string")
+
+
+@query(
+    r"""SELECT * FROM (VALUES ('json', 'mnk', '{"name":"mnk","state-default":"[[_, _, _], [_, _, _], [_, _, _]]","variant-default":"3-3-3"}'),
+  ('legible', 'mnk', E'\tvariant-default:\n3-3-3\n\n\tstate-default:\n[[_, _, _], [_, _, _], [_, _, _]]\n\n\tname:\nmnk\n\n'),
+  ('json', 'zero-by', '{"name":"zero-by","state-default":"10-0","variant-default":"2-10-1-2"}'),
+  ('legible', 'zero-by', E'\tvariant-default:\n2-10-1-2\n\n\tstate-default:\n10-0\n\n\tname:\nzero-by\n\n')) AS t(output, game, text)"""
+)
+def info_output(spark, sf_dir):
+    wanted = ["variant-default", "state-default", "name"]
+    return spark.createDataFrame([(o, g, info.formatted(spark, g, wanted, o)) for g in info.GAMES for o in ("json", "legible")], "output string, game string, text string")
+
+
+#: Own cases, good and bad.
+VARIANTS = {
+    "zero-by": ("2-10-1-2", "3-7-2", "12-25-4-1-4", "2-4611686018427387903-1", "2-4611686018427387904-1", "2-10", "2--10-1", "-2-10-1", "2-10-1-", "0-10-1", "2-0-1", "2-10-0", "02-10-1", "a-10-1", "2 10 1", ""),
+    "mnk": ("3-3-3", "4-7-2", "5-6-4", "1-10-1", "10-3-12", "4-8-3", "11-1-1", "3-3", "3-3-3-3", "0-3-3", "3-03-3", "3x3x3", "3-3--3", ""),
+}
+
+
+@query(
+    "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{t}')" for g, own in VARIANTS.items() for t in own) + """) AS t(game, text)),
+p AS (SELECT *, list_transform(string_split(text, '-'), lambda x: TRY_CAST(x AS HUGEINT)) AS n FROM v),
+j AS (SELECT *, CASE game WHEN 'mnk' THEN regexp_full_match(text, '[1-9][0-9]*-[1-9][0-9]*-[1-9][0-9]*') AND n[1] <= 10 AND n[2] <= 10 AND n[1] * n[2] <= 31
+  ELSE regexp_full_match(text, '[1-9][0-9]*-[1-9][0-9]*(-[1-9][0-9]*)+') AND n[2] < 18446744073709551616::HUGEINT // CASE WHEN n[1] < 2 THEN 2 WHEN n[1] < 4 THEN 4 WHEN n[1] < 8 THEN 8 ELSE 16 END END AS accepted FROM p)
+SELECT game, text, coalesce(accepted, false) AS accepted, CASE WHEN accepted THEN array_to_string(n[1:2] || list_sort(list_distinct(n[3:])), ' ') END AS parsed FROM j"""
+)
+def variant_strings(spark, sf_dir):
+    def judged(game: str, text: str) -> tuple:
+        try:
+            v = variants.zero_by(text) if game == "zero-by" else variants.mnk(text)
+        except VariantMalformed:
+            return game, text, False, None
+        numbers = (v.players, v.start, *v.choices) if game == "zero-by" else (v.m, v.n, v.k)
+        return game, text, True, " ".join(map(str, numbers))
+
+    return spark.createDataFrame([judged(g, t) for g, own in VARIANTS.items() for t in own], "game string, text string, accepted boolean, parsed string")
+
+
+@query("SELECT c_custkey AS history_id, (8 - c_custkey % 2 - c_custkey // 2 % 2)::BIGINT AS state FROM customer")
+def history_ends(spark, sf_dir):
+    """Where a history for each customer leads; some lines are empty or padded."""
+    first, second = F.lit(9) - F.col("c_custkey") % 2, F.lit(8) - F.col("c_custkey") % 2 - F.floor(F.col("c_custkey") / 2) % 2
+    texts = F.array(F.lit("10-0"), F.lit(" "), F.concat(F.lit("\t"), first.cast("string"), F.lit("-1 ")), F.concat(second.cast("string"), F.lit("-0")))
+    lines = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("history_id"), F.posexplode(texts).alias("line", "text"))
+    return history.ends(lines.withColumn("line", F.col("line").cast("long")), ZeroBy())

@@ -51,8 +51,10 @@ class Store:
         return self.spark.read.parquet(self.path(game, variant)) if self.exists(game, variant) else None
 
     def drop(self, game: str, variant: str) -> None:
-        fs, p = self._fs(self.path(game, variant))
-        fs.delete(p, True)
+        """Deletes a table, and what a replacement that broke off has left of it."""
+        for path in (self.replaced(game, variant), self.path(game, variant)):
+            fs, p = self._fs(path)
+            fs.delete(p, True)
 
     def replace(self, game: str, variant: str, rows: DataFrame) -> DataFrame:
         """Writes beside the table and swaps by renaming: a failed write leaves the old one, and so does a crash at any point."""
