@@ -145,7 +145,7 @@ def _zero_by_solution(variant: str):
     query(solution_sql(g.players, g.variant.start, g.variant.choices))(run)
 
 
-for _v in ("1-40-1-2", "2-50-1-2", "3-40-1-2-5", "4-60-3-5-7-11"):
+for _v in ("1-40-1-2", "2-50-1-2", "3-40-1-2-5", "4-60-3-5-7-11", "12-40-1-4-6"):
     _zero_by_solution(_v)
 
 
@@ -338,7 +338,7 @@ def _mnk_solution(variant: str):
     query(tree_sql(g.m, g.n, g.k))(run)
 
 
-for _v in ("3-3-3", "2-2-2", "3-2-2", "2-4-3"):
+for _v in ("3-3-3", "2-2-2", "3-2-2", "2-4-3", "3-4-3"):
     _mnk_solution(_v)
 
 
