@@ -53,14 +53,14 @@ def levels(game: Mnk, seeds: DataFrame, known: DataFrame | None = None) -> list[
         own = [out[-1]]
         for _ in range(min(AT_ONCE, game.cells + 1 - len(out))):
             own.append(new(game.expanded(own[-1]).select(F.col("child").alias("state")).distinct()))
-        out += tagged(own[1:])
+        out += tagged(own[1:])[1]
     return out
 
 
-def tagged(parts: list[DataFrame]) -> list[DataFrame]:
-    """Several tables that follow from each other, computed and cut as one."""
+def tagged(parts: list[DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """Several tables that follow from each other, computed and cut as one: their union, and each of them."""
     whole = cut(union([p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]))
-    return [whole.where(F.col("_part") == i).drop("_part") for i in range(len(parts))]
+    return whole.drop("_part"), [whole.where(F.col("_part") == i).drop("_part") for i in range(len(parts))]
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -104,6 +104,7 @@ def by_levels(game: Mnk, seeds: DataFrame, known: DataFrame | None = None) -> Da
     """
     found = levels(game, seeds, known)[::-1]
     parts: list[DataFrame] = []
+    wholes: list[DataFrame] = []
     for at in range(0, len(found), AT_ONCE):
         own: list[DataFrame] = []
         for level in found[at : at + AT_ONCE]:
@@ -113,8 +114,10 @@ def by_levels(game: Mnk, seeds: DataFrame, known: DataFrame | None = None) -> Da
                 below = solved if known is None else solved.select(*known.columns).unionByName(known)
                 new = new.unionByName(best_children(game.expanded(level), below, game.turn(F.col("state")).cast("long")))
             own.append(new)
-        parts += tagged(own)
-    return cut(union(parts))
+        whole, each = tagged(own)
+        wholes.append(whole)
+        parts += each
+    return union(wholes)
 
 
 def peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
