@@ -294,3 +294,15 @@ def test_a_replacement_that_breaks_off_loses_nothing(spark, tmp_path):
     assert fs.rename(target, old)  # a crash between the two renames
     assert e.store.read("zero-by", "2-10-1-2").count() == 20
     assert e.build("zero-by", mode="overwrite").count() == 20 and not fs.exists(old)
+
+
+def test_a_dropped_table_stays_away(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.drop("zero-by")
+    e.build("zero-by")
+    fs, target = e.store._fs(e.store.path("zero-by", "2-10-1-2"))
+    old = e.store._fs(e.store.replaced("zero-by", "2-10-1-2"))[1]
+    fs.mkdirs(old.getParent())
+    assert fs.rename(target, old)  # a crash between the two renames of a replacement
+    e.drop("zero-by")
+    assert e.store.read("zero-by", "2-10-1-2") is None and e.build("zero-by").count() == 20
