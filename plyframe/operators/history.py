@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyframe.errors import InvalidHistory
 from plyframe.operators.base import Game
 
 
-def verified(lines: DataFrame, game: Game) -> DataFrame:
+def verified(lines: DataFrame, game: Game, over: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(history_id, valid, error_line, error, state)`` of ``lines(history_id, line, text)``.
 
     Lines are trimmed, empty ones passed over. The first fault counts: a string that is no state, a
     start that isn't the game's, play after the end, or a move that isn't legal. ``state`` is the last one
     of a valid history. A history of empty lines only is invalid; one without lines isn't there.
+    ``over`` says after which states a line is play after the end, if not after all of the game's sinks.
     """
     trimmed = lines.select("history_id", "line", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).repartition("history_id")
     rows = trimmed.select("history_id", "line", (F.coalesce("text", F.lit("")) == "").alias("blank"), game.decode(F.col("text")).alias("_d")).select("history_id", "line", "blank", "_d.state", "_d.error")
@@ -25,7 +28,7 @@ def verified(lines: DataFrame, game: Game) -> DataFrame:
         F.when(F.col("blank"), F.lit(None))
         .when(F.col("bad").isNotNull(), F.col("bad"))
         .when((F.col("nth") == 1) & (F.col("state") != game.start), F.lit("wrong start"))
-        .when((F.col("nth") > 1) & game.is_sink(F.col("before")), F.lit("play after the end"))
+        .when((F.col("nth") > 1) & (over or game.is_sink)(F.col("before")), F.lit("play after the end"))
         .when((F.col("nth") > 1) & ~legal, F.lit("illegal move"))
     )
     marked = steps.select("history_id", "line", "blank", "state", error.alias("error"))

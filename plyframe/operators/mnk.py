@@ -75,8 +75,11 @@ class Mnk(Game):
     def is_full(self, state: Column) -> Column:
         return self.ply(state) == self.cells
 
+    def is_won(self, state: Column) -> Column:
+        return self.wins(state, X) | self.wins(state, O)
+
     def is_sink(self, state: Column) -> Column:
-        return self.wins(state, X) | self.wins(state, O) | self.is_full(state)
+        return self.is_won(state) | self.is_full(state)
 
     def successors(self, state: Column) -> Column:
         code = F.when(state < 0, F.lit(X)).otherwise(F.lit(O)).cast("long")
